@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgram.llm import quality
+from siftgram.llm import mixing, quality, urls
 from siftgram.llm.shared import table
 
 
@@ -20,7 +20,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP9 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), t AS (
   SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
@@ -46,5 +46,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bit
 FROM b
 """
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES = {"op9_quality_rules": _OP9}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+_OP5 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1') AS hk, md5(coalesce(text, '')) AS tie
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS weight, 2 * source_size AS cap FROM s
+), b AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight,
+         coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before
+  FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT *, CAST(total * 150 - 100 * cap_before AS DOUBLE) / (100 * (all_weight - weight_before)) AS level FROM b
+), f AS (
+  SELECT *, cap <= level * weight AS full_, arg_min(level, CAST(cap AS DOUBLE) / weight) FILTER (WHERE NOT (cap <= level * weight)) OVER () AS shared FROM l
+), g AS (
+  SELECT source, source_size, CASE WHEN full_ THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), shared * weight) END AS target FROM f
+), h AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS budget,
+         CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM g
+), p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY hk, doc_id, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM d
+)
+SELECT p.doc_id, p.size, h.source_size, h.target,
+       CAST(h.epochs * p.size + greatest(0, least(p.size, h.budget - h.epochs * h.source_size - p.prefix)) AS BIGINT) AS taken
+FROM p JOIN h ON p.source IS NOT DISTINCT FROM h.source
+"""
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
+ORACLES = {"op5_mixing": _OP5, "op9_quality_rules": _OP9}
