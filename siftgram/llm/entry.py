@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgram.llm import decontaminate, mixing, quality, simhash, urls, warc
+from siftgram.llm import decontaminate, folds, mixing, quality, simhash, toxicity, urls, warc
 from siftgram.llm.shared import scratch, table
 
 
@@ -26,6 +26,12 @@ FROM q
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_passages")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.classes(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -135,5 +141,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op7_simhash_dedup": op7_simhash_dedup, "op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
+QUERIES = {"op6_toxicity": op6_toxicity, "op7_simhash_dedup": op7_simhash_dedup, "op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
 ORACLES = {"op1_warc": _OP1, "op2_decontamination": _OP2, "op5_mixing": _OP5, "op9_quality_rules": _OP9}
