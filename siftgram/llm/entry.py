@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgram.llm import decontaminate, folds, mixing, quality, simhash, toxicity, urls, warc
+from siftgram.llm import decontaminate, folds, langid, mixing, quality, simhash, toxicity, urls, warc
 from siftgram.llm.shared import scratch, table
 
 
@@ -37,6 +37,12 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = langid.identify(docs, langid.train(docs))
+    return got.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -141,5 +147,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op7_simhash_dedup": op7_simhash_dedup, "op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
+QUERIES = {"op8_language_id": op8_language_id, "op6_toxicity": op6_toxicity, "op7_simhash_dedup": op7_simhash_dedup, "op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
 ORACLES = {"op1_warc": _OP1, "op2_decontamination": _OP2, "op5_mixing": _OP5, "op9_quality_rules": _OP9}
