@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgram.llm import decontaminate, folds, langid, lines, mixing, quality, simhash, toxicity, urls, warc
+from siftgram.llm import decontaminate, folds, langid, lines, mixing, quality, simhash, suffixes, toxicity, urls, warc
 from siftgram.llm.shared import scratch, table
 
 
@@ -108,6 +108,10 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lines.dropped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
@@ -152,5 +156,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_language_id": op8_language_id, "op6_toxicity": op6_toxicity, "op7_simhash_dedup": op7_simhash_dedup, "op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_line_dedup": op4_line_dedup, "op8_language_id": op8_language_id, "op6_toxicity": op6_toxicity, "op7_simhash_dedup": op7_simhash_dedup, "op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
 ORACLES = {"op1_warc": _OP1, "op2_decontamination": _OP2, "op5_mixing": _OP5, "op9_quality_rules": _OP9}
