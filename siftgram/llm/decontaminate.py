@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftgram.llm import kernels as K
+from siftgram.functions import kernels as K
 
 WINDOW = 10
 GRAM = 5

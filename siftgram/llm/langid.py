@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftgram.llm import folds
-from siftgram.llm import kernels as K
+from siftgram.functions import kernels as K
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 ROWS_A_LANGUAGE = 4_000

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftgram.llm import kernels as K
+from siftgram.functions import kernels as K
 from siftgram.llm.shared import materialised
 
 LENGTH = 100

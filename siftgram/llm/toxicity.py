@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftgram.llm import folds
-from siftgram.llm import kernels as K
+from siftgram.functions import kernels as K
+from siftgram.llm.shared import materialised
 
 TRAIN_ROWS = 50_000
 PRIOR = 0.2  # pseudo-tokens of the Dirichlet prior, as a share of all tokens counted
@@ -52,16 +53,6 @@ class Lexicon:
         return np.where(self.hashes[at] == words, self.weights[at], 0.0)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds, z) per token for counts in toxic and in clean documents."""
-    both = toxic + clean
-    a = prior * both
-    nt, nc = toxic.sum() + a.sum(), clean.sum() + a.sum()
-    t, c = toxic + a, clean + a
-    delta = np.log(t / (nt - t)) - np.log(c / (nc - c))
-    return delta, delta / np.sqrt(1 / t + 1 / c)
-
-
 def decay_rate(scores: np.ndarray, p: np.ndarray) -> float:
     """lambda > 0 with sum p exp(lambda s) = 1; 1.0 where no score is positive."""
     if not (scores[p > 0] > 0).any():
@@ -167,16 +158,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             n = np.bincount(inverse, minlength=len(h))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t), pa.array(n - t)], names=["h", "t", "c"])
 
-    counts = read.mapInArrow(count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    table = counts.toArrow()  # the vocabulary of a bounded sample
-    h, t, c = table["h"].to_numpy().view(np.uint64), table["t"].to_numpy().astype(float), table["c"].to_numpy().astype(float)
-    if not t.sum() or not c.sum():
+    counts = materialised(read.mapInArrow(count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "tokens")
+    nt, nc = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    if not nt or not nc:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 1.0)
-    delta, z = log_odds(t, c)
-    keep = np.abs(z) >= MIN_Z
-    p = c / c.sum()
-    scores = np.where(keep, delta, 0.0) - DRIFT
-    lexicon = Lexicon(h[keep], delta[keep], decay_rate(scores, p))
+    a = PRIOR * (F.col("t") + F.col("c"))
+    mass = PRIOR * (nt + nc)
+    t, c = F.col("t") + a, F.col("c") + a
+    delta = F.log(t / (nt + mass - t)) - F.log(c / (nc + mass - c))
+    z = delta / F.sqrt(1 / t + 1 / c)
+    # only informative tokens leave the executors
+    known = counts.select("h", "c", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= MIN_Z).toArrow()
+    h, clean, weight = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy().astype(float), known["delta"].to_numpy()
+    p = np.append(clean, nc - clean.sum()) / nc
+    lexicon = Lexicon(h, weight, decay_rate(np.append(weight, 0.0) - DRIFT, p))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
