@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftgram.config import FIELD_SEPARATOR, Normalization
+from siftgram.config import FIELD_SEPARATOR, REJECT, REJECT_TRIGGER_PREFIX, REJECT_TRIGGERS, Normalization
 
 
 @F.pandas_udf(T.StringType())
@@ -131,7 +131,10 @@ def rejected(gram: Column, norm: Normalization | None = None) -> Column:
     norm = norm or Normalization()
     out = (F.btrim(gram) == "") | gram.contains(FIELD_SEPARATOR)
     if norm.reject:
-        out = out | gram.rlike("(?i)" + "|".join(f"(?:{p})" for p in norm.reject))
+        hit = gram.rlike("(?i)" + "|".join(f"(?:{p})" for p in norm.reject))
+        if norm.reject == REJECT:  # one of these words has to be there; the search for them is cheap
+            hit = gram.rlike(r"\b(?:" + "|".join([*sorted(REJECT_TRIGGERS), REJECT_TRIGGER_PREFIX]) + ")") & hit
+        out = out | hit
     return out
 
 
