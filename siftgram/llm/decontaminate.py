@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftgram.functions import kernels as K
+from siftgram.functions.sharing import share
 
 WINDOW = 10
 GRAM = 5
@@ -167,10 +168,10 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str, window: int, gram:
 
 def _passes(docs: DataFrame, text: str, items: Items, names: list[str], schema: str, make) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    shared = share(spark, items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = shared()
         pows = K.Powers()
         sieves = {0: _sieve(block.prints)} | {n: _sieve(h) for n, (h, _) in block.short.items()}
         for batch in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from siftgram.llm import folds
 from siftgram.functions import kernels as K
+from siftgram.functions.sharing import share
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 ROWS_A_LANGUAGE = 4_000
@@ -230,10 +231,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     counts = materialised(sample.mapInArrow(count, "w binary, l int, n long").groupBy("w", "l").agg(F.sum("n").alias("n")), "words")
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = share(spark, model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            pows, own = K.Powers(), shared.value
+            pows, own = K.Powers(), shared()
             total = np.zeros(own.p.shape)
             for batch in batches:
                 for i, j, data, offs in K.pieces(batch.column(0)):
@@ -265,12 +266,12 @@ def _has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score (posterior of lang_pred under equal priors) for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = narrow.schema["k"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pows, own = K.Powers(), shared.value
+        pows, own = K.Powers(), shared()
         for batch in batches:
             for i, j, data, offs in K.pieces(batch.column(1)):
                 lettered = _has_letter(data, offs)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from siftgram.llm import folds
 from siftgram.functions import kernels as K
+from siftgram.functions.sharing import share
 from siftgram.llm.shared import materialised
 
 TRAIN_ROWS = 50_000
@@ -172,13 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     h, clean, weight = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy().astype(float), known["delta"].to_numpy()
     p = np.append(clean, nc - clean.sum()) / nc
     lexicon = Lexicon(h, weight, decay_rate(np.append(weight, 0.0) - DRIFT, p))
-    shared = spark.sparkContext.broadcast(lexicon)
+    shared = share(spark, lexicon)
 
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pows = K.Powers()
+        pows, own = K.Powers(), shared()
         for batch in batches:
             for i, j, data, offs in K.pieces(batch.column(0)):
-                e, n = evidence(K.Words(data, offs, pows), shared.value)
+                e, n = evidence(K.Words(data, offs, pows), own)
                 yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(n), batch.column(1).slice(i, j - i)], names=["e", "n", "y"])
 
     got = read.mapInArrow(feature, "e double, n double, y int").toArrow()
@@ -189,12 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (0 to 1), n_passages, evidence for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = share(docs.sparkSession, lexicon)
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = narrow.schema["k"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pows, own = K.Powers(), shared.value
+        pows, own = K.Powers(), shared()
         for batch in batches:
             for i, j, data, offs in K.pieces(batch.column(1)):
                 e, n = evidence(K.Words(data, offs, pows), own)
@@ -206,12 +207,12 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
 
 def toxic_passages(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, begin, end (characters of the UTF-8 bytes), passage, evidence: every significant passage."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = share(docs.sparkSession, lexicon)
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = narrow.schema["k"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pows, own = K.Powers(), shared.value
+        pows, own = K.Powers(), shared()
         for batch in batches:
             for i, j, data, offs in K.pieces(batch.column(1)):
                 words = K.Words(data, offs, pows)
