@@ -131,13 +131,18 @@ def rejected(gram: Column, norm: Normalization | None = None) -> Column:
     norm = norm or Normalization()
     out = (F.btrim(gram) == "") | gram.contains(FIELD_SEPARATOR)
     if norm.reject:
-        hit = gram.rlike("(?i)" + "|".join(f"(?:{p})" for p in norm.reject))
-        if norm.reject == REJECT:  # one of these words has to be there; the search for them is cheap
-            hit = gram.rlike(r"\b(?:" + "|".join([*sorted(REJECT_TRIGGERS), REJECT_TRIGGER_PREFIX]) + ")") & hit
-        out = out | hit
+        out = out | gram.rlike("(?i)" + "|".join(f"(?:{p})" for p in norm.reject))
     return out
 
 
+def may_reject(toks: Column, norm: Normalization) -> Column:
+    """Whether any window of these tokens can be rejected: a look at tokens is cheaper than one at windows."""
+    if norm.reject != REJECT:
+        return F.lit(True)
+    words = "|".join([*sorted(REJECT_TRIGGERS), REJECT_TRIGGER_PREFIX])
+    return F.exists(toks, lambda t: t.rlike(rf"\b(?:{words})|<"))
+
+
 def reject_pattern(gram: Column, norm: Normalization | None = None) -> Column:
     """Number of the first pattern that rejects a window; null if none does."""
     norm = norm or Normalization()

@@ -169,3 +169,8 @@ def masks(index: Index) -> DataFrame:
 def hidden_labels(rows: DataFrame, group: list[str], label: str) -> DataFrame:
     """group, hidden: whether every label of a split is missing."""
     return rows.groupBy(*group).agg(F.bool_and(missing_label(F.col(label))).alias("hidden"))
+
+
+def numbered_postings(index: Index) -> DataFrame:
+    """Postings with the gram_id that matching returns."""
+    return index.postings.withColumn("gram_id", F.xxhash64("gram"))

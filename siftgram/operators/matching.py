@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftgram.config import FIELD_SEPARATOR, REJECT_TRIGGER_PREFIX, REJECT_TRIGGERS, Normalization
 from siftgram.functions import kernels as K
 from siftgram.functions.sharing import share
-from siftgram.functions.text import rejected, tokens, windows
+from siftgram.functions.text import may_reject, rejected, tokens, windows
 from siftgram.operators.index import Index
 
 #: Distinct n-grams that the kernel plan broadcasts (8 bytes each, and a bit table).
@@ -255,7 +255,8 @@ def _by_join(parts: DataFrame, index: Index, stopgrams: DataFrame | None, keep:
     n, norm = index.ngram, index.normalization
     keyed = parts.withColumn("__k", F.struct(*[F.col(f"`{c}`") for c in keep])).withColumn("skipped", F.octet_length("text") < 2 * n)
     toks = keyed.select("__k", "skipped", tokens(F.col("text"), norm).alias("toks"))
-    ws = F.filter(windows(F.col("toks"), n), lambda w: ~rejected(w["gram"], norm))
+    ws = windows(F.col("toks"), n)
+    ws = F.when(may_reject(F.col("toks"), norm), F.filter(ws, lambda w: ~rejected(w["gram"], norm))).otherwise(ws)
     ws = F.when(F.col("skipped"), F.array().cast("array<struct<pos:int,gram:string>>")).otherwise(ws)
     base = toks.select("__k", "skipped", F.size("toks").cast("long").alias("n_tokens"), ws.alias("ws"))
     each = base.select("__k", F.explode("ws").alias("w")).select("__k", "w.pos", "w.gram")
