@@ -27,7 +27,7 @@ def blake64(s: pd.Series) -> pd.Series:
 def unsigned(h: Column) -> Column:
     """The unsigned value of a 64-bit hash, as DECIMAL(20,0)."""
     wide = h.cast("decimal(20,0)")
-    return F.when(h < 0, wide + F.lit(18446744073709551616).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+    return F.when(h < 0, wide + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
 @F.pandas_udf(T.StringType())

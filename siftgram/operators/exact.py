@@ -34,10 +34,6 @@ def questions(index: Index, cfg: ScanConfig, with_nfkc: bool = True) -> DataFram
     return out.select("item_idx", "question", "choices")
 
 
-def _block(words, at) -> F.Column:
-    return F.array_join(F.slice(words, at, BLOCK_WORDS), " ")
-
-
 def exact_hits(parts: DataFrame, index: Index, cfg: ScanConfig, key: list[str], with_nfkc: bool = True) -> DataFrame:
     """(key, item_idx, question, choices, light): word-bounded verbatim questions.
 
@@ -49,12 +45,13 @@ def exact_hits(parts: DataFrame, index: Index, cfg: ScanConfig, key: list[str],
     q = q.withColumn("w", F.slice(words, 1, BLOCK_WORDS)).withColumn("n", F.size("w")).withColumn("block", F.array_join("w", " ")).drop("w")
     docs = parts.select(*key, light(F.col("text"), with_nfkc).alias("light"))
     docs = docs.withColumn("lw", F.regexp_extract_all(F.col("light"), F.lit(_PIECE), F.lit(0)))
-    blocks = lambda n: F.transform(F.sequence(F.lit(0), F.size("lw") - n), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("lw", i + 1, n), " ").alias("block")))
-    none = F.array().cast("array<struct<n:int,block:string>>")
-    every = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("block"))), *[F.when(F.size("lw") >= n, blocks(n)).otherwise(none) for n in range(1, BLOCK_WORDS + 1)])
+    # a block is named by its number of words, and plain strings are distinct by hashing
+    blocks = lambda n: F.transform(F.sequence(F.lit(0), F.size("lw") - n), lambda i: F.concat(F.lit(f"{n}|"), F.array_join(F.slice("lw", i + 1, n), " ")))
+    none = F.array().cast("array<string>")
+    every = F.concat(F.array(F.lit("0|")), *[F.when(F.size("lw") >= n, blocks(n)).otherwise(none) for n in range(1, BLOCK_WORDS + 1)])
     # blocks alone travel to the join; pairs come back to the text by the row's key
-    seen = docs.select(*key, F.explode(F.array_distinct(every)).alias("b")).select(*key, "b.n", "b.block")
-    pairs = seen.join(small(q.select("item_idx", "n", "block"), 200_000), ["n", "block"]).select(*key, "item_idx").distinct()
+    seen = docs.select(*key, F.explode(F.array_distinct(every)).alias("block"))
+    pairs = seen.join(small(q.select("item_idx", F.concat(F.col("n").cast("string"), F.lit("|"), "block").alias("block")), 200_000), "block").select(*key, "item_idx").distinct()
     both = pairs.join(docs.select(*key, "light"), key).join(small(q.select("item_idx", "question", "choices"), 200_000), "item_idx")
     return both.where(bounded(F.col("light"), F.col("question")))
 
@@ -62,7 +59,7 @@ def exact_hits(parts: DataFrame, index: Index, cfg: ScanConfig, key: list[str],
 def choices_near(hits: DataFrame, radius: int = WINDOW_CHARS) -> DataFrame:
     """Adds choices_found and choices_total: choices within `radius` characters of the question."""
     pieces = F.split("light", F.concat(F.lit(r"\Q"), F.col("question"), F.lit(r"\E")), -1)
-    ends = F.transform(pieces, lambda p, i: F.array_join(F.slice(pieces, 1, i + 1), F.col("question")))
+    ends = F.transform(pieces, lambda p, i: F.call_function("array_join", F.slice(pieces, 1, i + 1), F.col("question")))
     start = F.get(F.filter(F.transform(ends, lambda e: F.length(e)), lambda n: bounded(F.substring(F.col("light"), F.greatest(F.lit(1), n), F.length("question") + F.when(n > 0, F.lit(2)).otherwise(F.lit(1))), F.col("question"))), F.lit(0))
     out = hits.withColumn("start", F.coalesce(start, F.lit(0)))
     lo = F.greatest(F.lit(0), F.col("start") - radius)

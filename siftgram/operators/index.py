@@ -161,8 +161,9 @@ def masks(index: Index) -> DataFrame:
     names = [r["benchmark"] for r in index.items.select("benchmark").distinct().orderBy("benchmark").collect()]
     if len(names) > 64:
         raise ValueError("masks hold 64 benchmarks at most")
-    bit = F.shiftleft(F.lit(1).cast("long"), (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("benchmark")) - 1).cast("int"))
-    out = index.postings.groupBy("gram").agg(F.bit_or(bit).alias("mask"))
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("benchmark")) - 1
+    bits = index.postings.select("gram", at.cast("int").alias("at")).select("gram", F.expr("shiftleft(1L, at)").alias("bit"))
+    out = bits.groupBy("gram").agg(F.bit_or("bit").alias("mask"))
     return out.withColumn("hash", unsigned(blake64("gram")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftgram.config import DOC_SEPARATOR, DOC_SEPARATOR_TYPO, Normalization
-from siftgram.functions.text import rejected, tokens, windows
+from siftgram.functions.text import may_reject, rejected, tokens, windows
 
 
 def background_documents(rows: DataFrame, fields: list[str], sep: str | None = DOC_SEPARATOR, typo: str | None = DOC_SEPARATOR_TYPO) -> DataFrame:
@@ -25,9 +25,10 @@ def background_stopgrams(docs: DataFrame, n: int, tau: float, norm: Normalizatio
     norm = norm or Normalization()
     total = docs.count()
     need = max(1, -int(-(tau * total) // 1))
-    grams = docs.select(tokens(F.col("text"), norm).alias("toks")).select(F.array_distinct(windows(F.col("toks"), n)["gram"]).alias("g"))
-    each = grams.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= need)
-    return each.where(~rejected(F.col("gram"), norm))
+    toks = docs.select(tokens(F.col("text"), norm).alias("toks"))
+    ws = windows(F.col("toks"), n)["gram"]
+    ws = F.when(may_reject(F.col("toks"), norm), F.filter(ws, lambda g: ~rejected(g, norm))).otherwise(ws)
+    return toks.select(F.explode(F.array_distinct(ws)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= need)
 
 
 def item_stopgrams(index, max_item_share: float, min_count: int) -> DataFrame:

@@ -43,8 +43,8 @@ def scan(
     cfg = cfg or ScanConfig(ngram=index.ngram)
     if cfg.ngram != index.ngram:
         raise ValueError(f"the index has n = {index.ngram}, the scan {cfg.ngram}")
-    check_columns(df, cfg)
-    parts = sub_documents(segments(df, cfg, shard, row_index), cfg).withColumn("part", F.coalesce("part", F.lit(0))) if cfg.packed_doc_sep is None else sub_documents(segments(df, cfg, shard, row_index), cfg)
+    check_columns(df.drop(*[c for c in (shard, row_index) if c and c not in cfg.text_keys and c != cfg.id_key]), cfg)
+    parts = sub_documents(segments(df, cfg, shard, row_index), cfg).withColumn("part", F.coalesce("part", F.lit(0)))
     matched = gates.union_gate(match(parts, index, stopgrams, CARRIED, plan), cfg)
     verdicts = gates.item_verdicts(matched, index, cfg, ROW)
     decided = matched.withColumn("match_count", F.col("n_hits"))

@@ -28,7 +28,7 @@ def planted(index: Index, variants: tuple[str, ...] = VARIANTS, every: int = 1)
     """(row_index, shard, kind, item_idx, variant, text): each item in each variant, and controls."""
     text = F.array_join(F.flatten("fields"), "\n")
     items = index.items.where((F.col("item_idx") % every == 0) & (F.col("n_grams") > 0))
-    v = F.explode(F.array(*[F.struct(F.lit(i).alias("v"), F.lit(k).alias("variant"), variant(text, k).alias("plant")) for i, k in enumerate(variants)]))
+    v = F.explode(F.array(*[F.struct(F.lit(i).alias("v"), F.lit(k).alias("variant"), variant(text, k).alias("plant")) for i, k in enumerate(variants)])).alias("v")
     rows = items.select("item_idx", v).select("item_idx", "v.v", "v.variant", "v.plant")
     width = len(variants) + 1
     host = F.concat(F.lit(f"{HOST} "), F.col("item_idx").cast("string"))
