@@ -208,10 +208,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not languages:
         return model
     # the first of each language in a hash order, by a threshold: no sort, no window over a hot language
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_a_language / sizes[k]))])
+    part = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_a_language / sizes[k]))])
     place = folds.order(F.col(key)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
     number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
-    sample = ready.where(place < share[F.col(lang)]).select(F.col(text).alias("t"), number[F.col(lang)].alias("l"))
+    sample = ready.where(place < part[F.col(lang)]).select(F.col(text).alias("t"), number[F.col(lang)].alias("l"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = K.Powers()
