@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgram.functions import kernels as K
-from siftgram.llm.shared import materialised
+from siftgram.llm.shared import materialised, released
 
 LENGTH = 100
 GRAM = 24
@@ -175,7 +175,7 @@ def columns(texts: list[bytes], at: list[int], order: np.ndarray, length: int) -
 
 
 def _occurrences(keyed: DataFrame, length: int, gram: int, kind: str) -> DataFrame:
-    names = ["hash", "content", "k", "th", "begin", "end", "at"]
+    names = ["hash", "content", "k", "th", "place"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = K.Powers()
@@ -190,11 +190,18 @@ def _occurrences(keyed: DataFrame, length: int, gram: int, kind: str) -> DataFra
                     row = pa.array(s.doc)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(s.hash.view(np.int64)), pa.array(s.content.view(np.int64)), batch.column(0).slice(i, j - i).take(row), batch.column(1).slice(i, j - i).take(row),
-                         pa.array((s.begin + base).astype(np.int32)), pa.array((s.end + base).astype(np.int32)), pa.array(s.at.astype(np.int32))],
+                         pa.array(((s.begin + base) << 32) | ((s.end - s.begin) << 16) | s.at)],
                         names=names,
                     )
 
-    return keyed.mapInArrow(scan, f"hash long, content long, k {kind}, th long, begin int, end int, at int")
+    return keyed.mapInArrow(scan, f"hash long, content long, k {kind}, th long, place long")
+
+
+def _unpacked() -> list:
+    """begin, end and at of a stretch, whose place packs begin, size and anchor in 32, 16 and 16 bits."""
+    begin = F.shiftright("place", 32).cast("int")
+    size = F.shiftright("place", 16).bitwiseAND(0xFFFF).cast("int")
+    return [begin.alias("begin"), (begin + size).alias("end"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("at")]
 
 
 def _key_order(k: str = "k", th: str = "th", begin: str = "begin"):
@@ -208,18 +215,25 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         raise ValueError("the gram has to fit the length")
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("th"), body.alias("t"))
+    ids = keyed.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1 OR k IS NULL")
+    if ids.isEmpty():  # ids alone name the documents
+        keyed = keyed.withColumn("th", F.lit(0).cast("long"))
     kind = keyed.schema["k"].dataType.simpleString()
-    occ = materialised(_occurrences(keyed, length, gram, kind), "stretches")
-    shared = occ.groupBy("hash").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("n > 1")
-    shared = shared.select("hash", (F.col("c0") != F.col("c1")).alias("mixed"))
-    near = materialised(occ.join(shared, "hash"), "shared")
-    first = near.groupBy("content", "hash").agg(F.min(_key_order()).alias("f"), F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.first("end").alias("e"), F.first("begin").alias("b0"), F.first("at").alias("at"))
-    first = materialised(first.select("content", "hash", "f", "n", "mixed", (F.col("e") - F.col("b0")).alias("size"), "at"), "firsts")
-    again = near.join(first.where("n > 1").select("content", "hash", "f"), ["content", "hash"]).where(_key_order() != F.col("f"))
-    whole = again.select("k", "th", "begin", "end")
-    # rows that repeat as a whole have equal keys: they are not told apart here, see below
-    open_ = first.where("mixed").select("hash", F.col("f.k").alias("k"), F.col("f.th").alias("th"), F.col("f.b").alias("begin"), "size", "at")
+    # anchors are found twice, in place of a table of them: most have no partner
+    occ = _occurrences(keyed, length, gram, kind)
+    shared = occ.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    near = materialised(occ.join(shared, "hash", "left_semi").select("hash", "content", "k", "th", "place"), "shared")
+    released(near)
+    mixed = near.groupBy("hash").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).where("c0 <> c1").select("hash", F.lit(True).alias("mixed"))
+    first = near.groupBy("content", "hash").agg(F.min(_key_order(begin="place")).alias("f"), F.count("*").alias("n"))
+    first = materialised(first.join(mixed, "hash", "left").select("content", "hash", "f", "n", F.coalesce("mixed", F.lit(False)).alias("mixed")), "firsts")
+    again = near.join(first.where("n > 1").select("content", "hash", "f"), ["content", "hash"]).where(_key_order(begin="place") != F.col("f"))
+    whole = again.select("k", "th", *_unpacked()[:2])
+    # rows that repeat as a whole have equal keys: they are not told apart here, see _finish
+    open_ = first.where("mixed").select("hash", F.col("f.k").alias("k"), F.col("f.th").alias("th"), F.col("f.b").alias("place"))
+    open_ = open_.select("hash", "k", "th", *_unpacked()).select("hash", "k", "th", "begin", (F.col("end") - F.col("begin")).alias("size"), "at")
     parts = _distinct_windows(keyed, open_, kind, length)
+    released(near)
     marks = whole.unionByName(parts).groupBy("k", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return _finish(keyed, marks, kind, length).withColumnRenamed("k", key)
 
@@ -231,6 +245,7 @@ def _distinct_windows(keyed: DataFrame, open_: DataFrame, kind: str, length: int
     rows = rows.select("k", "th", F.encode("t", "utf-8").alias("t"), F.explode("spans").alias("s"))
     cut = rows.select(F.col("s.hash").alias("hash"), "k", "th", F.col("s.begin").alias("begin"), F.col("s.at").alias("at"), F.substring(F.col("t"), F.col("s.begin") + 1, F.col("s.size")).alias("body"))
     cut = materialised(cut, "cut")
+    released(cut)
     hot = materialised(cut.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"), "hot")
     cool = cut.join(hot, "hash", "left_anti")
     out = _by_columns(cool, kind, length)
