@@ -281,6 +281,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     least = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
     of_linked = linked.join(least, "root").select("node", "class_id")
     of_node = nodes.select("node", "rep").join(of_linked, "node", "left").select(F.col("node").alias("n2"), F.coalesce("class_id", "rep").alias("class_id"))
+    of_node = materialised(of_node, "node-classes")  # a table: the copies' side of the join can be split
     got = every.select("k", "node").join(of_node, F.col("node") == F.col("n2"), "left")
     return got.select(F.col("k").alias(key), "node", F.when(F.col("node").isNull(), F.col("k")).otherwise(F.col("class_id")).alias("class_id"))
 

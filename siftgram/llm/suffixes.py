@@ -216,12 +216,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("th"), body.alias("t"))
     ids = keyed.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1 OR k IS NULL")
-    if ids.isEmpty():  # ids alone name the documents
+    unique = ids.isEmpty()
+    if unique:  # ids alone name the documents
         keyed = keyed.withColumn("th", F.lit(0).cast("long"))
     kind = keyed.schema["k"].dataType.simpleString()
     # anchors are found twice, in place of a table of them: most have no partner
     occ = _occurrences(keyed, length, gram, kind)
     shared = occ.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    shared = materialised(shared, "partners")  # a table, so that both sides of the join are exchanges that Spark can split
     near = materialised(occ.join(shared, "hash", "left_semi").select("hash", "content", "k", "th", "place"), "shared")
     released(near)
     mixed = near.groupBy("hash").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).where("c0 <> c1").select("hash", F.lit(True).alias("mixed"))
@@ -232,7 +234,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     # rows that repeat as a whole have equal keys: they are not told apart here, see _finish
     open_ = first.where("mixed").select("hash", F.col("f.k").alias("k"), F.col("f.th").alias("th"), F.col("f.b").alias("place"))
     open_ = open_.select("hash", "k", "th", *_unpacked()).select("hash", "k", "th", "begin", (F.col("end") - F.col("begin")).alias("size"), "at")
-    parts = _distinct_windows(keyed, open_, kind, length)
+    parts = _distinct_windows(keyed if unique else keyed.dropDuplicates(["k", "th"]), open_, kind, length)
     released(near)
     marks = whole.unionByName(parts).groupBy("k", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return _finish(keyed, marks, kind, length).withColumnRenamed("k", key)
@@ -317,6 +319,7 @@ def _by_windows(cut: DataFrame, kind: str, length: int) -> DataFrame:
 
     every = materialised(cut.select("hash", "k", "th", "begin", "at", "body").mapInArrow(scan, f"hash long, k {kind}, th long, begin int, w long"), "windows")
     first = every.groupBy("hash", "w").agg(F.min(_key_order()).alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "w", "f")
+    first = materialised(first, "windows-first")
     later = every.join(first, ["hash", "w"]).where(_key_order() != F.col("f"))
     return later.select("k", "th", "begin", (F.col("begin") + length).cast("int").alias("end"))
 
