@@ -99,6 +99,7 @@ class Tokens:
             at = body.find(marker, at + 1)
         self.start, self.end, self.doc, self.segment, self.hash, self.trigger = s[keep], e[keep], doc[keep], segment[keep], h[keep], trigger[keep]
         self.first = np.searchsorted(self.start, offs)
+        self.base = np.cumsum(self.separators) - self.separators  # separators before each document
         self.counts = np.diff(self.first) + self.separators
 
 
@@ -190,7 +191,7 @@ class Matcher:
             n_kept = self._distinct(h, doc, docs)
         hit, gram = self.known.lookup(h, self.sieve)
         # a separator takes a place of its own in the token stream
-        place = pos[hit] - t.first[doc[hit]] + (t.segment[pos[hit]] - t.segment[t.first[doc[hit]]])
+        place = pos[hit] - t.first[doc[hit]] + t.segment[pos[hit]] - t.base[doc[hit]]
         return {"skipped": short, "n_tokens": t.counts, "n_grams": n_grams, "n_kept": n_kept, "doc": doc[hit], "pos": place, "gram": gram}
 
     @staticmethod
@@ -228,7 +229,7 @@ def _by_kernel(parts: DataFrame, index: Index, stopgrams: DataFrame | None, keep
     n, norm = index.ngram, index.normalization
     got = numbered(index).toArrow()
     pows = K.Powers()
-    stop = None if stopgrams is None else gram_hashes([g for g in stopgrams.toArrow()["gram"].to_pylist()], n, pows)
+    stop = None if stopgrams is None else gram_hashes([g for g in stopgrams.toArrow()["gram"].to_pylist() if g.count(" ") == n - 1], n, pows)
     known = Known(gram_hashes(got["gram"].to_pylist(), n, pows), got["gram_id"].to_numpy(), stop, n, norm)
     shared = share(parts.sparkSession, known)
     rows = parts.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")

@@ -1,0 +1,66 @@
+"""Manifests, resume and reproduction: what a run read, with which settings, and what it found."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siftgram.config import ScanConfig
+from siftgram.operators.index import Index
+from siftgram.plans.scan import ScanResult, hits, records, run_summary, shard_summary
+from siftgram.sources.shards import collect_files, finished, stem, write_hits, write_records
+
+
+def file_sha256(path: str) -> str:
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        for block in iter(lambda: f.read(1 << 20), b""):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def manifest(cfg: ScanConfig, index: Index, inputs: list[str]) -> dict:
+    """Settings and hashes of every resolved shard, also where inputs are folders or globs."""
+    files = collect_files(inputs)
+    return {
+        "version": 1, "fingerprint": cfg.fingerprint(), "normalization": index.normalization.fingerprint(), "ngram": index.ngram,
+        "inputs": inputs, "shards": {f: file_sha256(f) for f in files},
+    }
+
+
+def write_run(result: ScanResult, out: str, about: dict) -> dict:
+    """Records, hits, summaries (with the fingerprint that resume goes by) and the manifest."""
+    from pyspark.sql import functions as F
+
+    write_records(records(result), f"{out}/records")
+    write_hits(hits(result), f"{out}/hits")
+    summary = shard_summary(result).withColumn("fingerprint", F.lit(about["fingerprint"])).withColumn("error", F.lit(None).cast("string"))
+    summary.write.mode("append").parquet(f"{out}/summaries")
+    total = run_summary(result).first().asDict()
+    Path(out, "manifest.json").write_text(json.dumps(about | {"summary": total}, indent=1, sort_keys=True))
+    return total
+
+
+def open_shards(spark: SparkSession, out: str, inputs: list[str], fingerprint: str) -> list[str]:
+    """Shards of the inputs without a finished summary under this fingerprint."""
+    files = collect_files(inputs)
+    if not Path(out, "summaries").exists():
+        return files
+    left = set(finished(spark.read.parquet(f"{out}/summaries"), [stem(f) for f in files], fingerprint))
+    return [f for f in files if stem(f) in left]
+
+
+def check_reproducible(path: str) -> list[str]:
+    """Shards of a manifest that are missing or have changed."""
+    about = json.loads(Path(path).read_text())
+    return [f for f, h in about["shards"].items() if not Path(f).exists() or file_sha256(f) != h]
+
+
+def validate_run(spark: SparkSession, out: str) -> dict:
+    """Counts of records and hits against the summaries of a run folder."""
+    seen: DataFrame = spark.read.text(f"{out}/records")
+    total = json.loads(Path(out, "manifest.json").read_text())["summary"]
+    return {"records": seen.count(), "contaminated": total["contaminated"], "hits": spark.read.parquet(f"{out}/hits").count()}
