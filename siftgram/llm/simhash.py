@@ -260,7 +260,8 @@ def _shingles(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """key, node, class_id (smallest key of the class), one row per document; nodes of one class are near-duplicates."""
+    """key, node, root, class_id, one row per document. root names the class by its smallest node, class_id by its
+    smallest key; where keys repeat on different texts, classes may share a class_id but no root."""
     shared_dir(docs.sparkSession)
     every = materialised(prints(docs, key, text), "prints")
     nodes = materialised(every.where("node is not null").groupBy("node").agg(F.min("k").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n")), "nodes")
@@ -279,26 +280,28 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     roots = components(links, "a", "b")
     linked = nodes.join(roots, "node").select("node", "rep", "root").checkpoint()
     least = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    of_linked = linked.join(least, "root").select("node", "class_id")
-    of_node = nodes.select("node", "rep").join(of_linked, "node", "left").select(F.col("node").alias("n2"), F.coalesce("class_id", "rep").alias("class_id"))
+    of_linked = linked.join(least, "root").select("node", "class_id", "root")
+    of_node = nodes.select("node", "rep").join(of_linked, "node", "left")
+    of_node = of_node.select(F.col("node").alias("n2"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("root", "node").alias("root"))
     of_node = materialised(of_node, "node-classes")  # a table: the copies' side of the join can be split
     got = every.select("k", "node").join(of_node, F.col("node") == F.col("n2"), "left")
-    return got.select(F.col("k").alias(key), "node", F.when(F.col("node").isNull(), F.col("k")).otherwise(F.col("class_id")).alias("class_id"))
+    return got.select(F.col("k").alias(key), "node", "root", F.when(F.col("node").isNull(), F.col("k")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, the one with the smallest key, with its own columns."""
     found = materialised(classes(docs, key, text), "classes").withColumnRenamed(key, "_k")
-    first = found.where(F.col("node").isNotNull()).groupBy(F.col("class_id").alias("_c")).agg(F.min_by("node", F.struct("_k", "node")).alias("_n"), F.min("_k").alias("_f"))
+    first = found.where(F.col("node").isNotNull()).groupBy(F.col("root").alias("_c")).agg(F.min_by("node", F.struct("_k", "node")).alias("_n"), F.min("_k").alias("_f"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
-    gone = found.where("node is not null").join(first, F.col("class_id").eqNullSafe(F.col("_c"))).where(~F.col("_k").eqNullSafe(F.col("_f")) | (F.col("node") != F.col("_n")))
+    gone = found.where("node is not null").join(first, F.col("root") == F.col("_c")).where(~F.col("_k").eqNullSafe(F.col("_f")) | (F.col("node") != F.col("_n")))
     # rows that repeat as a whole keep one; they are few, and only they are put together
     again = found.where("node is not null").groupBy("_k", "node").agg(F.count("*").alias("c")).where("c > 1")
     kept = own
     if not gone.isEmpty():
         names = gone.select("_k", "node").distinct()
-        only = names.join(found.groupBy("_k").agg(F.count_distinct("node").alias("d")).where("d > 1").select("_k"), "_k", "left_semi")
-        if only.isEmpty():
+        # keys that stand on several texts need the node as well; a null text counts as one more
+        crowded = found.groupBy("_k").agg(F.count_distinct(F.coalesce("node", F.lit(0))).alias("d")).where("d > 1")
+        if crowded.isEmpty():
             kept = own.join(names.select("_k"), F.col("k").eqNullSafe(F.col("_k")), "left_anti")
         else:
             marked = prints(own, "row", "t").withColumnRenamed("k", "row").withColumn("k", F.col(f"row.`{key}`")).withColumn("t", F.col(f"row.`{text}`"))
@@ -306,6 +309,6 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     if not again.isEmpty():
         twice = again.select("_k").distinct()
         single = kept.join(twice, F.col("k").eqNullSafe(F.col("_k")), "left_anti")
-        rest = kept.join(twice, F.col("k").eqNullSafe(F.col("_k")), "left_semi").dropDuplicates(["k", "t"])
-        kept = single.unionByName(rest)
+        rest = kept.join(twice, F.col("k").eqNullSafe(F.col("_k")), "left_semi")
+        kept = single.unionByName(rest.where("t is null")).unionByName(rest.where("t is not null").dropDuplicates(["k", "t"]))
     return kept.select("row.*")

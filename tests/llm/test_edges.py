@@ -87,6 +87,13 @@ def test_repeats_lose_all_but_one(spark):
     assert simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
 
 
+def test_dedup_with_ids_that_repeat(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in "abcdefghijkl") for x in "xyz")
+    rows = [(None, None), (None, None), (None, a), (1, a), (1, a), (1, b), (2, b), (3, None), (3, None), (3, c), (3, c)]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, None), (None, None), (1, a), (1, b), (3, None), (3, None), (3, c)], key=str)
+
+
 def test_pages(spark, tmp_path):
     rows = [(1, None, None), (None, "", ""), (1, None, None), (2, "http://a/\u00e9", "x" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("k", F.lit(2)).withColumn("r", F.lit(3))
