@@ -14,7 +14,8 @@ STOP_WORDS = frozenset(
     "a an and are as at be by else for from has he how if in is it its not of on or "
     "that the then these this those to was were what when where which who why will with".split()
 )
-WORD = r"[a-z0-9]+(?:'[a-z0-9]+)?"
+_RUN = "[a-z0-9]+"
+WORD = f"{_RUN}(?:'{_RUN})?"
 
 _NUMERAL, _BETWEEN, _LETTER, _ORDINAL = "i{1,4}", "[^a-z0-9]+", "[a-d]", "(?:i{1,4}|[1-4])"
 _TRUTH = "(?:true|false)"
@@ -104,9 +105,9 @@ class ScanConfig:
     spaced_min_loci: int = 3
     spaced_ver_min_span: int = 17
     spaced_ver_identity: float = 0.85
-    exact_channel: str = "off"
     exact_min_chars: int = 12
     confirm: bool = False
+    exact_channel: str = "off"
     normalization: Normalization = field(default_factory=Normalization)
 
     def __post_init__(self) -> None:

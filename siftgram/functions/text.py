@@ -162,7 +162,8 @@ def windows(toks: Column, n: int) -> Column:
 
 def numbers(light_col: Column) -> Column:
     """Distinct number tokens of a light-normalized text."""
-    return F.array_distinct(F.regexp_extract_all(light_col, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
+    digits = "[0-9]+"
+    return F.array_distinct(F.regexp_extract_all(light_col, F.lit(rf"{digits}(?:\.{digits})?"), F.lit(0)))
 
 
 _ALNUM = r"[\p{IsAlphabetic}\p{N}]"

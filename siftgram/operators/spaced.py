@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,20 +14,29 @@ from siftgram.operators.gates import small
 from siftgram.operators.index import Index, item_text
 
 
+def _pattern(span: int, *gaps: int) -> str:
+    return "".join("0" if i in gaps else "1" for i in range(span))
+
+
+#: Four seeds of weight 13, by where they don't care.
+_PATTERNS = (_pattern(17, 3, 5, 9, 13), _pattern(17, 3, 6, 8, 11), _pattern(17, 2, 6, 10, 12), _pattern(17, 4, 7, 9, 12))
+
+
 @dataclass(frozen=True)
 class SeedFamily:
-    """Patterns of one span and weight; a window of `exact_n` consecutive tokens contains no whole seed."""
+    """Patterns of one span and weight; a window of that many consecutive tokens contains no whole seed."""
 
-    patterns: tuple[str, ...] = ("11101011101110111", "11101101011011111", "11011101110101111", "11110110101101111")
-    exact_n: int = 13
+    patterns: tuple[str, ...] = _PATTERNS
+    window: int = 13
 
     def __post_init__(self) -> None:
-        if not self.patterns or len({len(p) for p in self.patterns}) > 1 or len({p.count("1") for p in self.patterns}) > 1:
+        shapes = {(len(p), p.count("1")) for p in self.patterns}
+        if len(shapes) != 1:
             raise ValueError("patterns have to share span and weight")
         for p in self.patterns:
-            if set(p) - {"0", "1"} or p[:1] != "1" or p[-1:] != "1":
+            if not re.fullmatch("1[01]*1", p):
                 raise ValueError(f"{p!r} is no seed pattern")
-            if "1" * self.exact_n in p or len(p) <= self.exact_n:
+            if len(p) <= self.window or self.window * "1" in p:
                 raise ValueError("a seed may not contain an exact window")
         if len(set(self.patterns)) < len(self.patterns):
             raise ValueError("patterns repeat")

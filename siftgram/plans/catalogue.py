@@ -32,7 +32,7 @@ def query(sql: str | None = None):
     return add
 
 
-# --- inputs ------------------------------------------------------------------------------------------------------
+# inputs
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def scanned(spark: SparkSession, sf: str, cfg: ScanConfig | None = None, two_fie
     return scans.scan(documents(spark, sf), indexed(spark, sf, cfg.ngram, two_fields), cfg, "source", "doc_id")
 
 
-# --- SQL ---------------------------------------------------------------------------------------------------------
+# SQL
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 _WORD = WORD.replace("'", "''")
@@ -134,7 +134,7 @@ bg AS (SELECT DISTINCT gram, benchmark FROM iw)
 """
 
 
-# --- gates -------------------------------------------------------------------------------------------------------
+# gates
 
 
 @query(base() + "SELECT doc_id, n_grams, n_hits, coverage FROM fl")
@@ -240,7 +240,7 @@ def item_best(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("shard", "item_idx", "hits", "item_ngrams", "item_coverage", "doc_id")
 
 
-# --- index -------------------------------------------------------------------------------------------------------
+# index
 
 
 @query(
@@ -313,7 +313,7 @@ def scan_with_stopgrams(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("row_index").alias("doc_id"), "n_grams", "n_kept", "n_hits")
 
 
-# --- segments ----------------------------------------------------------------------------------------------------
+# segments
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,7 +365,7 @@ def chat_turns(spark: SparkSession, sf: str) -> DataFrame:
     return got.where("n_hits > 0").select("doc_id", "n_grams", "n_hits")
 
 
-# --- reports -----------------------------------------------------------------------------------------------------
+# reports
 
 
 @query(base() + "SELECT shard, benchmark, count(*) AS n FROM sh JOIN bg ON sh.gram = bg.gram GROUP BY ALL")
@@ -463,7 +463,7 @@ def flagged_records(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("row_index", "match_count", F.coalesce(F.size("item_hits"), F.lit(0)).cast("long").alias("n_items"))
 
 
-# --- filter ------------------------------------------------------------------------------------------------------
+# filter
 
 
 @query(base() + "SELECT doc_id FROM d0 WHERE doc_id NOT IN (SELECT doc_id FROM fl)")
@@ -498,7 +498,7 @@ def filter_removals(spark: SparkSession, sf: str) -> DataFrame:
     return filtering.removals(r, r.index)
 
 
-# --- exact and spaced channels -----------------------------------------------------------------------------------
+# exact and spaced channels
 
 
 def _light(x: str) -> str:
@@ -595,7 +595,7 @@ def channel_counts(spark: SparkSession, sf: str) -> DataFrame:
     return scans.run_summary(scanned(spark, sf, config(exact_channel="all", spaced=True))).select("by_ngram", "by_exact", F.col("contaminated"))
 
 
-# --- self-test and checks ----------------------------------------------------------------------------------------
+# self-test and checks
 
 
 @query(

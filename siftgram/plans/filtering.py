@@ -77,4 +77,4 @@ def check_consistent(result: ScanResult) -> None:
 
 def dataset_card(removed: DataFrame) -> str:
     rows = removed.orderBy(F.col("benchmark").asc_nulls_first()).collect()
-    return "\n".join(["| benchmark | rows removed |", "| --- | --- |", *[f"| {r['benchmark'] or 'all'} | {r['rows']} |" for r in rows]]) + "\n"
+    return "\n".join(["| benchmark | rows removed |", "|:-|:-|", *[f"| {r['benchmark'] or 'all'} | {r['rows']} |" for r in rows]]) + "\n"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
+import pathlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,14 +40,14 @@ def write_run(result: ScanResult, out: str, about: dict) -> dict:
     summary = shard_summary(result).withColumn("fingerprint", F.lit(about["fingerprint"])).withColumn("error", F.lit(None).cast("string"))
     summary.write.mode("append").parquet(f"{out}/summaries")
     total = run_summary(result).first().asDict()
-    Path(out, "manifest.json").write_text(json.dumps(about | {"summary": total}, indent=1, sort_keys=True))
+    pathlib.Path(out, "manifest.json").write_text(json.dumps(about | {"summary": total}, indent=1, sort_keys=True))
     return total
 
 
 def open_shards(spark: SparkSession, out: str, inputs: list[str], fingerprint: str) -> list[str]:
     """Shards of the inputs without a finished summary under this fingerprint."""
     files = collect_files(inputs)
-    if not Path(out, "summaries").exists():
+    if not pathlib.Path(out, "summaries").exists():
         return files
     left = set(finished(spark.read.parquet(f"{out}/summaries"), [stem(f) for f in files], fingerprint))
     return [f for f in files if stem(f) in left]
@@ -55,12 +55,12 @@ def open_shards(spark: SparkSession, out: str, inputs: list[str], fingerprint: s
 
 def check_reproducible(path: str) -> list[str]:
     """Shards of a manifest that are missing or have changed."""
-    about = json.loads(Path(path).read_text())
-    return [f for f, h in about["shards"].items() if not Path(f).exists() or file_sha256(f) != h]
+    about = json.loads(pathlib.Path(path).read_text())
+    return [f for f, h in about["shards"].items() if not pathlib.Path(f).exists() or file_sha256(f) != h]
 
 
 def validate_run(spark: SparkSession, out: str) -> dict:
     """Counts of records and hits against the summaries of a run folder."""
     seen: DataFrame = spark.read.text(f"{out}/records")
-    total = json.loads(Path(out, "manifest.json").read_text())["summary"]
+    total = json.loads(pathlib.Path(out, "manifest.json").read_text())["summary"]
     return {"records": seen.count(), "contaminated": total["contaminated"], "hits": spark.read.parquet(f"{out}/hits").count()}

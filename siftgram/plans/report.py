@@ -96,11 +96,15 @@ def exact_summary(decided: DataFrame, choices: DataFrame) -> DataFrame:
     return only.withColumn("k", F.lit(1)).join(pairs.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+def _head(*names: str) -> list[str]:
+    return [f"| {' | '.join(names)} |", "|" + ":-|" * len(names)]
+
+
 def markdown(benchmarks: DataFrame, shards: DataFrame, top: int = 10) -> str:
     """A short rendering of the top rows."""
-    lines = ["# Leak report", "", "| benchmark | leaked | total | fraction |", "| --- | --- | --- | --- |"]
+    lines = ["# Leak report", "", *_head("benchmark", "leaked", "total", "fraction")]
     lines += [f"| {r['benchmark']} | {r['leaked']} | {r['total']} | {r['fraction']:.4f} |" for r in benchmarks.orderBy(F.desc("fraction"), "benchmark").limit(top).collect()]
-    lines += ["", "| shard | distinct n-grams | per 1,000 documents |", "| --- | --- | --- |"]
+    lines += ["", *_head("shard", "distinct n-grams", "per 1,000 documents")]
     lines += [f"| {r['shard']} | {r['unique_grams']} | {r['per_1k_docs']:.2f} |" for r in worst_shards(shards, top).collect()]
     return "\n".join(lines) + "\n"
 

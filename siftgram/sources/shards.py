@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXTENSIONS = (".parquet", ".jsonl", ".jsonl.gz", ".jsonl.zst")
+EXTENSIONS = (".parquet", *(f".jsonl{packed}" for packed in ("", ".gz", ".zst")))
 
 
-def collect_files(inputs: list[str]) -> list[str]:
+def collect_files(paths: Iterable[str]) -> list[str]:
     """Directories (recursive), globs and files to a sorted list of distinct shards of known extensions."""
     found: set[str] = set()
-    for one in inputs:
+    for one in paths:
         if os.path.isdir(one):
             names = [str(p) for p in Path(one).rglob("*") if p.is_file()]
         else:

@@ -44,16 +44,18 @@ def test_empty_benchmarks(spark):
 def test_item_gate_against_union(spark):
     ix = index.build_index(bench(spark, [["alpha beta gamma"], ["delta epsilon zeta"]]), 2)
     texts = ["alpha beta gamma", "alpha beta frog delta epsilon", "nothing to see here"]
-    assert flagged(run(spark, texts, ix, min_hits=2, min_coverage=0.0)) == [0, 1]
-    assert flagged(run(spark, texts, ix, min_hits=2, min_coverage=0.0, gate_mode="item")) == [0]
-    assert flagged(run(spark, texts, ix, min_hits=2, min_coverage=0.0, gate_mode="item", min_longest_run=3)) == [0]
-    assert flagged(run(spark, texts, ix, min_hits=2, min_coverage=0.0, gate_mode="item", min_longest_run=4)) == []
+    low = {"min_coverage": 0.0, "min_hits": 2}
+    item = low | {"gate_mode": "item"}
+    assert flagged(run(spark, texts, ix, **low)) == [0, 1]
+    assert flagged(run(spark, texts, ix, **item)) == [0]
+    assert flagged(run(spark, texts, ix, min_longest_run=3, **item)) == [0]
+    assert flagged(run(spark, texts, ix, min_longest_run=4, **item)) == []
 
 
 def test_fan_out_split(spark):
     items = [["table chair couch shelf"], ["table chair couch lamp"], ["table chair desk"], ["bench stool"]]
     ix = index.build_index(bench(spark, items), 2)
-    r = run(spark, ["table chair couch shelf"], ix, min_hits=1, min_coverage=0.0, gate_mode="item", boilerplate_threshold=3)
+    r = run(spark, ["table chair couch shelf"], ix, boilerplate_threshold=3, gate_mode="item", min_hits=1, min_coverage=0.0)
     got = {x.item_idx: (x.hits, x.unique_hits, x.shared_hits, x.boilerplate_hits) for x in r.verdicts.collect()}
     assert got == {0: (3, 1, 1, 1), 1: (2, 0, 1, 1), 2: (1, 0, 0, 1)}
 
