@@ -34,7 +34,7 @@ def documents(spark, texts, source=lambda i: f"s{i % 3}"):
     return frame(spark, [(i, t, "en", source(i), None if t is None else len(t)) for i, t in enumerate(texts)])
 
 
-# --- 1: WARC -----------------------------------------------------------------------------------------------------
+# 1: WARC
 
 
 def test_warc_round_trip_at_every_range_size(spark, tmp_path):
@@ -66,7 +66,7 @@ def test_warc_reader_passes_over_false_magic():
         assert got == [1, 2]
 
 
-# --- 2: decontamination ------------------------------------------------------------------------------------------
+# 2: decontamination
 
 
 def brute_contamination(docs, items):
@@ -104,7 +104,7 @@ def test_decontamination_is_exact(spark, block_words):
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == brute_contamination(docs, items)
 
 
-# --- 3: suffix dedup ---------------------------------------------------------------------------------------------
+# 3: suffix dedup
 
 
 def brute_repeats(docs, length):
@@ -153,7 +153,7 @@ def test_columns_find_all_equal_windows():
     assert got == want
 
 
-# --- 4: lines ----------------------------------------------------------------------------------------------------
+# 4: lines
 
 
 def test_recurring_templates_go_and_copies_stay(spark):
@@ -183,7 +183,7 @@ def test_dropped_lines_agree_without_broadcast(spark, monkeypatch):
     assert sum(r[2] for r in one) == 20
 
 
-# --- 5: mixing ---------------------------------------------------------------------------------------------------
+# 5: mixing
 
 
 def test_targets_fill_up_to_the_caps(spark):
@@ -222,7 +222,7 @@ def test_mix_meets_budgets_and_reruns_agree(spark, range_rows, monkeypatch):
     assert mixed.agg(F.sum("take_words")).first()[0] == sum(taken.values())
 
 
-# --- 6: toxicity -------------------------------------------------------------------------------------------------
+# 6: toxicity
 
 
 def test_segments_are_the_maximal_ones():
@@ -268,7 +268,7 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
-# --- 7: SimHash --------------------------------------------------------------------------------------------------
+# 7: SimHash
 
 
 def brute_classes(docs):
@@ -330,7 +330,7 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
 
 
-# --- 8: language ID ----------------------------------------------------------------------------------------------
+# 8: language ID
 
 
 def test_forward_sums_all_segmentations():
@@ -361,7 +361,7 @@ def test_languages_held_out(spark):
     assert got[703][0] == "aa" and all(0 <= s <= 1 for _, s in got.values())
 
 
-# --- 9: quality --------------------------------------------------------------------------------------------------
+# 9: quality
 
 
 def test_quality_measurements(spark):
@@ -388,7 +388,7 @@ def test_policies_and_ablations(spark):
     assert [r.doc_id for r in quality.apply_policy(docs).collect()] == [1]
 
 
-# --- 10: URLs ----------------------------------------------------------------------------------------------------
+# 10: URLs
 
 
 def test_rules_and_hosts(spark):
