@@ -43,7 +43,8 @@ class SeedFamily:
 
     @property
     def span(self) -> int:
-        return len(self.patterns[0])
+        """Tokens from a seed's first to its last."""
+        return max(map(len, self.patterns))
 
     def offsets(self) -> list[list[int]]:
         return [[i for i, c in enumerate(p) if c == "1"] for p in self.patterns]
