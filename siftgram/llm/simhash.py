@@ -8,9 +8,13 @@
    dense regions a bucket is refined to longer prefixes until it is of bounded
    size. Tries are range-partitioned, so that no prefix, however dense, has to
    fit one task. Candidates within a bucket are compared on all 128 bits; sparse
-   nodes keep every candidate, dense ones their nearest in each trie.
+   nodes keep every candidate, dense ones at first their nearest in each trie.
 3. Candidates are verified by exact Jaccard similarity of their shingle sets.
-4. Verified links form classes (connected components); the class id is the
+4. Buckets that the first pass left pairs of are open: every pair of theirs within
+   the distance limit is verified, but for pairs that verified links already put
+   in one class, and pairs of sets too unequal in size. Large ones are compared
+   block by block.
+5. Verified links form classes (connected components); the class id is the
    smallest doc_id.
 
 Edge cases: a null text is a class of its own. Texts of no words are copies only
@@ -38,8 +42,11 @@ THRESHOLD = 0.8
 RECALL = 0.998
 BUCKET = 256  # nodes that a bucket of the shallowest depth holds, about
 MOST = 1024  # larger buckets are refined
-NEAREST = 4  # candidates that a dense node keeps in each trie
-SPARSE = 16  # a node with no more candidates than this keeps all
+NEAREST = 4  # candidates that a dense node keeps in each trie at first
+SPARSE = 16  # a node with no more candidates than this keeps all at first
+BLOCK = 4096  # nodes of an open bucket that are compared at once, about
+#: Open buckets that may be broadcast; above, a join takes their place.
+BROADCAST_ROWS = 1_000_000
 _BITS = 128
 _LANES = np.uint64(0x0101010101010101)
 
@@ -129,8 +136,8 @@ def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return narrow.mapInArrow(scan, f"k {kind}, node long, s1 long, s2 long, n long")
 
 
-def _tries(nodes: DataFrame, tries: int) -> DataFrame:
-    """(trie, key, rest, node): a node's bits, in each trie's own order."""
+def _tries(nodes: DataFrame, tries: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(trie, key, rest, node) and `more` columns of long: a node's bits, in each trie's own order."""
     orders = [np.random.Generator(np.random.PCG64(1000 + t)).permutation(_BITS) for t in range(tries)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +150,9 @@ def _tries(nodes: DataFrame, tries: int) -> DataFrame:
                     moved = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").astype(np.uint64)
                     # the sign bit is flipped so that Spark's signed order is the order of the bits
                     key = (moved[:, 0] ^ np.uint64(1 << 63)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(key), pa.array(moved[:, 1].copy().view(np.int64)), part.column(0)], names=["trie", "key", "rest", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(key), pa.array(moved[:, 1].copy().view(np.int64)), part.column(0), *part.columns[3:]], names=["trie", "key", "rest", "node", *more])
 
-    return nodes.select("node", "s1", "s2").mapInArrow(spread, "trie int, key long, rest long, node long")
+    return nodes.select("node", "s1", "s2", *more).mapInArrow(spread, ", ".join(["trie int, key long, rest long, node long", *[f"{c} long" for c in more]]))
 
 
 def buckets(trie: np.ndarray, key: np.ndarray, depth: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +177,8 @@ def buckets(trie: np.ndarray, key: np.ndarray, depth: int, most: int) -> tuple[n
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def candidates(start, end, key, rest, node, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes within buckets, at most `limit` bits apart, in pieces of bounded size."""
+def candidates(start, end, key, rest, node, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of nodes within buckets, at most `limit` bits apart, in pieces of bounded size, and a row of each pair left out."""
     many = end - start >= 2
     start, end = start[many], end[many]
     size = end - start
@@ -204,10 +211,18 @@ def candidates(start, end, key, rest, node, limit: int) -> Iterator[tuple[np.nda
             rank = np.arange(len(o)) - np.repeat(*(lambda c: (np.cumsum(c) - c, c))(np.unique(one[o], return_counts=True)[1]))
             keep[dense[o[rank < NEAREST] % len(dense)]] = True
         x, y = node[a[keep]], node[b[keep]]
-        yield np.minimum(x, y), np.maximum(x, y)
+        yield np.minimum(x, y), np.maximum(x, y), np.unique(a[~keep])
 
 
 def _pairs(tries: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(a, b, open): pairs of nodes and, where open holds, (trie, prefix) of buckets that pairs may be missing of."""
+
+    def prefixes(key):
+        return (key ^ np.uint64(1 << 63)).view(np.int64) >> np.int64(64 - depth)
+
+    def batch_of(a, b, open_):
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b), pa.array(np.full(len(a), open_))], names=["a", "b", "open"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -222,7 +237,13 @@ def _pairs(tries: DataFrame, depth: int, limit: int) -> DataFrame:
             out = []
             if cut >= 2:
                 start, end = buckets(trie[:cut], key[:cut], depth, MOST)
-                out = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"]) for x, y in candidates(start, end, key[:cut], rest[:cut], node[:cut], limit)]
+                left = []
+                for x, y, z in candidates(start, end, key[:cut], rest[:cut], node[:cut], limit):
+                    out.append(batch_of(x, y, False))
+                    left.append(z)
+                left = np.concatenate([np.zeros(0, np.int64), *left])
+                at = np.unique(np.stack([trie[left].astype(np.int64), prefixes(key[left])]), axis=1)
+                out.append(batch_of(at[0], at[1], True))
             return out, [(trie[cut:], key[cut:], rest[cut:], node[cut:])]
 
         for batch in batches:
@@ -236,7 +257,66 @@ def _pairs(tries: DataFrame, depth: int, limit: int) -> DataFrame:
         if size:
             yield from flush(held, True)[0]
 
-    return tries.mapInArrow(scan, "a long, b long").distinct()
+    return tries.mapInArrow(scan, "a long, b long, open boolean").distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def across(key, rest, n, root, side, limit: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of all pairs of different roots within the limit, of sizes that allow the threshold; between sides, where there are two."""
+    names, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+    main = of == np.argmax(counts)  # rows of the commonest root need not meet each other
+    everything = np.arange(len(key))
+    if len(np.unique(side)) > 1:
+        one, two = side == side.min(), side != side.min()
+        jobs = [(np.flatnonzero(one & ~main), np.flatnonzero(two)), (np.flatnonzero(two & ~main), np.flatnonzero(one & main))]
+    else:
+        jobs = [(np.flatnonzero(~main), everything)]
+    for left, right in jobs:
+        step = max(1, 1_000_000 // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i = left[at : at + step, None]
+            far = np.bitwise_count(key[i] ^ key[right]) + np.bitwise_count(rest[i] ^ rest[right])
+            x, y = np.nonzero(far <= limit)
+            x, y = left[at + x], right[y]
+            fits = (of[x] != of[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
+            if fits.any():
+                yield x[fits], y[fits]
+
+
+def _open_pairs(nodes: DataFrame, opened: DataFrame, depth: int, tries: int, limit: int, threshold: float) -> DataFrame:
+    """(a, b): all pairs of open buckets (trie, prefix) that may be links between classes. nodes: node, s1, s2, n, root."""
+    rows = _tries(nodes, tries, ("n", "root")).withColumn("prefix", F.shiftright("key", 64 - depth))
+    mine = rows.join(_small(opened), ["trie", "prefix"], "left_semi")
+    sizes = mine.groupBy("trie", "prefix").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    sizes = materialised(sizes.select("trie", "prefix", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+    dealt = rows.join(_small(sizes), ["trie", "prefix"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["trie", "prefix", "x", "y"]
+    dealt = dealt.select("trie", "prefix", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "key", "rest", "node", "n", "root", "side")
+    dealt = dealt.repartition(*cell).sortWithinPartitions(*cell)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush(rows, all_of_them):
+            change = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in range(4)], axis=0)) + 1
+            cuts = [0, *change.tolist(), *([len(rows[0])] if all_of_them else [])]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                _, _, _, _, key, rest, node, n, root, side = (r[lo:hi] for r in rows)
+                for i, j in across(key.view(np.uint64), rest.view(np.uint64), n, root, side, limit, threshold):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+            held[:] = [r[cuts[-1] :] for r in rows]
+
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in range(10)]
+            yield from flush([np.concatenate(c) for c in zip(held, new, strict=True)] if held else new, False)
+        if held:
+            yield from flush(held, True)
+
+    return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -259,6 +339,20 @@ def _shingles(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
     return rows.mapInArrow(scan, "node long, sh array<long>")
 
 
+def _named(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, rep) of the nodes in pairs."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return nodes.join(ends, "node", "left_semi").select("node", "rep")
+
+
+def _verified(pairs: DataFrame, sh: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose shingle sets reach the threshold."""
+    left = pairs.join(sh.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a")
+    both = left.join(sh.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """key, node, root, class_id, one row per document. root names the class by its smallest node, class_id by its
     smallest key; where keys repeat on different texts, classes may share a class_id but no root."""
@@ -268,15 +362,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     # J >= t between different sets needs a union of at least 1 / (1 - t)
     open_ = nodes.where(F.col("n") >= math.ceil(threshold / (1 - threshold) - 1e-9))
     depth, tries = plan(open_.count(), threshold, recall)
+    limit = _distance_limit(threshold)
     forest = _tries(open_, tries).repartitionByRange("trie", "key").sortWithinPartitions("trie", "key")
-    pairs = materialised(_pairs(forest, depth, _distance_limit(threshold)), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", "rep")
-    sh = materialised(_shingles(docs, wanted, key, text).dropDuplicates(["node"]), "shingles")
-    left = pairs.join(sh.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a")
-    both = left.join(sh.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    found = materialised(_pairs(forest, depth, limit), "pairs")
+    pairs = found.where("not open").select("a", "b")
+    sh = materialised(_shingles(docs, _named(nodes, pairs), key, text).dropDuplicates(["node"]), "shingles")
+    links = _verified(pairs, sh, threshold)
+    opened = found.where("open").select(F.col("a").cast("int").alias("trie"), F.col("b").alias("prefix"))
+    if not opened.isEmpty():
+        stars = materialised(components(links, "a", "b"), "first-roots")
+        known = open_.join(stars, "node", "left").select("node", "s1", "s2", "n", F.coalesce("root", "node").alias("root"))
+        pairs = materialised(_open_pairs(known, opened, depth, tries, limit, threshold), "open-pairs")
+        unread = materialised(_named(nodes, pairs).join(sh, "node", "left_anti"), "unread")
+        if not unread.isEmpty():
+            sh = sh.unionByName(materialised(_shingles(docs, unread, key, text).dropDuplicates(["node"]), "shingles"))
+        links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(pairs, sh, threshold))
     roots = components(links, "a", "b")
     linked = nodes.join(roots, "node").select("node", "rep", "root").checkpoint()
     least = linked.groupBy("root").agg(F.min("rep").alias("class_id"))

@@ -303,6 +303,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept.count() == len(set(got.values()))
 
 
+def test_links_inside_a_family_of_similar_texts(spark):
+    rng = random.Random(12)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"y{next(own)}" for _ in range(n)]
+    template = fresh(284)
+    docs = []
+    for _ in range(24):  # similar to any other text at 0.7, to the second one at 0.82
+        part = fresh(29)
+        docs += [template + part + fresh(31) for _ in range(2)]
+    docs += [template + fresh(60) for _ in range(300)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_classes(docs)
+    assert len(set(want.values())) == 324
+    assert sum(got[i] != want[i] for i in want) <= 1
+
+
 def test_dense_buckets_are_refined():
     key = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 5000, dtype=np.uint64) << np.uint64(44))
     start, end = simhash.buckets(np.zeros(5000, np.int32), key, 2, 100)
