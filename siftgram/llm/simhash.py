@@ -10,7 +10,8 @@
    fit one task. Candidates within a bucket are compared on all 128 bits; sparse
    nodes keep every candidate, dense ones at first their nearest in each trie.
 3. Candidates are verified by exact Jaccard similarity of their shingle sets.
-4. Buckets that the first pass left pairs of are open: every pair of theirs within
+4. Buckets that were refined or that the first pass left pairs of are open: the
+   climb goes back to the depth that reaches the recall. Every pair of theirs within
    the distance limit is verified, but for pairs that verified links already put
    in one class, and pairs of sets too unequal in size. Large ones are compared
    block by block.
@@ -241,7 +242,10 @@ def _pairs(tries: DataFrame, depth: int, limit: int) -> DataFrame:
                 for x, y, z in candidates(start, end, key[:cut], rest[:cut], node[:cut], limit):
                     out.append(batch_of(x, y, False))
                     left.append(z)
-                left = np.concatenate([np.zeros(0, np.int64), *left])
+                p = key[:cut] >> np.uint64(64 - depth)
+                first = np.concatenate([[0], np.flatnonzero((p[1:] != p[:-1]) | (trie[1:cut] != trie[: cut - 1])) + 1])
+                left.append(first[np.diff(np.append(first, cut)) > MOST])  # refined: pairs of shorter prefixes are missing
+                left = np.concatenate(left)
                 at = np.unique(np.stack([trie[left].astype(np.int64), prefixes(key[left])]), axis=1)
                 out.append(batch_of(at[0], at[1], True))
             return out, [(trie[cut:], key[cut:], rest[cut:], node[cut:])]

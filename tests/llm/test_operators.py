@@ -320,6 +320,29 @@ def test_links_inside_a_family_of_similar_texts(spark):
     assert sum(got[i] != want[i] for i in want) <= 1
 
 
+def planted_pairs_met(spark, n, planted):
+    """Share of planted pairs 20 bits apart that one trie meets among n nodes of one bucket, all others far apart."""
+    rng = np.random.default_rng(13)
+    order = np.random.Generator(np.random.PCG64(1000)).permutation(128)
+    bits = rng.integers(0, 2, (n, 128), dtype=np.uint8)
+    bits[:, order[:6]] = 0
+    for i in range(planted):
+        bits[2 * i + 1] = bits[2 * i]
+        bits[2 * i + 1, rng.permutation(order[6:])[:20]] ^= 1
+    s = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    nodes = spark.createDataFrame([(i, int(s[i, 0]), int(s[i, 1]), 100, i) for i in range(n)], "node long, s1 long, s2 long, n long, root long")
+    forest = simhash._tries(nodes, 1).repartitionByRange("trie", "key").sortWithinPartitions("trie", "key")
+    found = simhash._pairs(forest, 6, 34).cache()
+    opened = found.where("open").select(F.col("a").cast("int").alias("trie"), F.col("b").alias("prefix"))
+    both = found.where("not open").select("a", "b").union(simhash._open_pairs(nodes, opened, 6, 1, 34, 0.8))
+    return both.where(f"a % 2 = 0 and b = a + 1 and a < {2 * planted}").distinct().count() / planted
+
+
+def test_a_refined_bucket_keeps_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 500)
+    assert planted_pairs_met(spark, 3000, 200) == 1
+
+
 def test_dense_buckets_are_refined():
     key = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 5000, dtype=np.uint64) << np.uint64(44))
     start, end = simhash.buckets(np.zeros(5000, np.int32), key, 2, 100)
