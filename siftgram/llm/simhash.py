@@ -10,8 +10,9 @@
    fit one task. Candidates within a bucket are compared on all 128 bits; sparse
    nodes keep every candidate, dense ones at first their nearest in each trie.
 3. Candidates are verified by exact Jaccard similarity of their shingle sets.
-4. Buckets that were refined or that the first pass left pairs of are open: the
-   climb goes back to the depth that reaches the recall. Every pair of theirs within
+4. Buckets that were refined, that lie over the end of a range or that the first
+   pass left pairs of are open: the climb goes back to the depth that reaches the
+   recall, and a bucket is whole whatever its size. Every pair of theirs within
    the distance limit is verified, but for pairs that verified links already put
    in one class, and pairs of sets too unequal in size. Large ones are compared
    block by block.
@@ -227,8 +228,10 @@ def _pairs(tries: DataFrame, depth: int, limit: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        begun = False
 
         def flush(rows, all_of_them):
+            nonlocal begun
             trie, key, rest, node = (np.concatenate([h[i] for h in rows]) for i in range(4))
             cut = len(key)
             if not all_of_them:  # the bucket at the end may go on
@@ -236,7 +239,7 @@ def _pairs(tries: DataFrame, depth: int, limit: int) -> DataFrame:
                 change = np.flatnonzero((p[1:] != p[:-1]) | (trie[1:] != trie[:-1]))
                 cut = int(change[-1]) + 1 if len(change) else len(key)
             out = []
-            if cut >= 2:
+            if cut:
                 start, end = buckets(trie[:cut], key[:cut], depth, MOST)
                 left = []
                 for x, y, z in candidates(start, end, key[:cut], rest[:cut], node[:cut], limit):
@@ -245,6 +248,10 @@ def _pairs(tries: DataFrame, depth: int, limit: int) -> DataFrame:
                 p = key[:cut] >> np.uint64(64 - depth)
                 first = np.concatenate([[0], np.flatnonzero((p[1:] != p[:-1]) | (trie[1:cut] != trie[: cut - 1])) + 1])
                 left.append(first[np.diff(np.append(first, cut)) > MOST])  # refined: pairs of shorter prefixes are missing
+                # a bucket at either end of a range, or cut for its size, may go on elsewhere
+                ends = [0] * (not begun) + [cut - 1] * (all_of_them or cut == len(key))
+                left.append(np.array(ends, dtype=np.int64))
+                begun = True
                 left = np.concatenate(left)
                 at = np.unique(np.stack([trie[left].astype(np.int64), prefixes(key[left])]), axis=1)
                 out.append(batch_of(at[0], at[1], True))

@@ -343,6 +343,17 @@ def test_a_refined_bucket_keeps_the_recall(spark, monkeypatch):
     assert planted_pairs_met(spark, 3000, 200) == 1
 
 
+def test_a_bucket_over_many_ranges_is_whole(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("16", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        assert planted_pairs_met(spark, 600, 100) == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_dense_buckets_are_refined():
     key = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 5000, dtype=np.uint64) << np.uint64(44))
     start, end = simhash.buckets(np.zeros(5000, np.int32), key, 2, 100)
