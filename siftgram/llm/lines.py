@@ -10,7 +10,9 @@ Copies of one document are no recurrence: a template's documents are counted by
 context. A document's context is the least of its lines in a hash order, which
 (near) copies share; three orders are counted and the largest count holds, as in
 one order a boilerplate line may itself be the least. A template recurs when it
-has `min_contexts` contexts, and at least half as many as lines.
+has `min_contexts` contexts, and at least half as many as documents that differ
+in the least line of some order: whole copies and repeats inside a document
+count once on both sides, (near) copies hardly more.
 
 All counts are partial aggregates over thin hash rows; distinct lines, not
 lines, are parsed below the leaves; a hot line or leaf never meets in one task.
@@ -123,7 +125,7 @@ def _small(df: DataFrame) -> DataFrame:
 def templates(
     docs: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS, min_tokens: int = MIN_TOKENS, constant_share: float = CONSTANT_SHARE
 ) -> DataFrame:
-    """(line, template, n_lines, n_contexts, recurs): line hashes below leaves that can recur, with their template."""
+    """(line, template, n_lines, n_docs, n_contexts, recurs): line hashes below leaves that can recur, with their template."""
     texts = docs.select(F.col(text).alias("t"))
     thin = materialised(_thin(texts, min_tokens), "lines")
     leaves = materialised(thin.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("leaf"), "leaves")
@@ -139,9 +141,12 @@ def templates(
     )
     shape = shape.where(F.col("n_fixed") >= F.greatest(F.lit(min_tokens), F.ceil(constant_share * F.col("n_tokens"))))
     shape = materialised(shape.select("line", F.xxhash64("leaf", "x").alias("template")), "shapes")
-    seen = near.join(shape, "line").groupBy("template").agg(F.count("*").alias("n_lines"), *[F.count_distinct(f"c{r}").alias(f"n{r}") for r in range(ORDERS)])
-    seen = seen.select("template", "n_lines", F.greatest(*[F.col(f"n{r}") for r in range(ORDERS)]).alias("n_contexts"))
-    seen = seen.withColumn("recurs", (F.col("n_contexts") >= min_contexts) & (2 * F.col("n_contexts") >= F.col("n_lines")))
+    orders = [f"c{r}" for r in range(ORDERS)]
+    # a document, however often it stands or repeats a line, is one row
+    each = near.join(shape, "line").groupBy("template", *orders).agg(F.count("*").alias("n"))
+    seen = each.groupBy("template").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_docs"), *[F.count_distinct(c).alias(f"n{r}") for r, c in enumerate(orders)])
+    seen = seen.select("template", "n_lines", "n_docs", F.greatest(*[F.col(f"n{r}") for r in range(ORDERS)]).alias("n_contexts"))
+    seen = seen.withColumn("recurs", (F.col("n_contexts") >= min_contexts) & (2 * F.col("n_contexts") >= F.col("n_docs")))
     return shape.join(seen, "template")
 
 

@@ -173,6 +173,15 @@ def test_recurring_templates_go_and_copies_stay(spark):
     assert few.agg(F.sum("_n_dropped")).first()[0] == 0
 
 
+def test_copies_and_repeats_outvote_no_context(spark):
+    rng = random.Random(14)
+    notice, again = "All of the notices on this page are kept", "Go back to the top of this list"
+    texts = ["\n".join([prose(rng, 12), notice, prose(rng, 15), again, prose(rng, 9), again, prose(rng, 11), again]) for _ in range(20)]
+    texts += [texts[0]] * 60
+    got = {r.doc_id: r for r in lines.dropped(documents(spark, texts)).collect()}
+    assert all(got[i]._n_dropped == 4 and notice not in got[i]._kept and again not in got[i]._kept for i in range(80))
+
+
 def test_dropped_lines_agree_without_broadcast(spark, monkeypatch):
     rng = random.Random(6)
     texts = ["\n".join([prose(rng, 12), "The same footer stands on every page", prose(rng, 10)]) for _ in range(20)] + [None, ""]
