@@ -28,12 +28,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"\x1f\x8b\x08"
 MIN_BYTES = 100
 RANGE_BYTES = 32 << 20
+#: Reading tasks at most; more ranges than that share tasks.
+MOST_TASKS = 200_000
 _WINDOW = 1 << 20
 _PROBE = 4096
 MANIFEST = "path string, bytes long, records long"
@@ -150,10 +152,12 @@ def parse(record: bytes) -> dict:
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     payload = rest[: int(fields["Content-Length"])]
+    if len(payload) != int(fields["Content-Length"]):
+        raise ValueError(f"the block of {fields['WARC-Record-ID']} is cut short")
     number = lambda x: None if x == _id(None) else int(x.removeprefix("<urn:page:").removesuffix(">"))
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError(f"payload digest of {fields['WARC-Record-ID']} does not hold")
+    if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"])):
+        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest or length")
     url = fields.get("WARC-Target-URI")
     return {
         "page_id": number(fields["WARC-Record-ID"]), "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "record_type": kind,
@@ -185,10 +189,14 @@ def records_in(handle, start: int, end: int) -> Iterator[dict]:
 
 
 def read_archives(spark: SparkSession, base: str, manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """The records of all archives of a manifest, one task row per byte range."""
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
-    ranges = manifest.where("bytes > 0").select("path", F.col("bytes"), starts.alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    """The records of all archives of a manifest: ranges are numbered, and each is a task of its own up to MOST_TASKS."""
+    count = F.ceil(F.col("bytes") / range_bytes).cast("long")
+    # one row per archive, not per record or range, goes through this window
+    numbered = manifest.where("bytes > 0").select("path", "bytes", (F.sum(count).over(Window.orderBy("path")) - count).alias("first"))
+    starts = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("at", "start")
+    ranges = numbered.select("path", "bytes", "first", starts)
+    tasks = min(MOST_TASKS, manifest.agg(F.sum(count)).first()[0] or 1)
+    ranges = ranges.repartitionById(tasks, F.pmod(F.col("first") + F.col("at"), F.lit(tasks)).cast("int")).select("path", "bytes", "start")
     schema = RECORDS if payloads else RECORDS.rsplit(",", 1)[0]
     names = [x.split()[0] for x in schema.split(", ")]
     types = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)])
