@@ -6,25 +6,27 @@ recurs at its position is part of the template and any other is a variable
 field, so that lines that differ only in such fields share one template.
 A template that recurs across documents is dropped everywhere.
 
-Copies of one document are no recurrence: a template's documents are counted by
-context. A document's context is the least of its lines in a hash order, which
-(near) copies share; three orders are counted and the largest count holds, as in
-one order a boilerplate line may itself be the least. A template recurs when it
-has `min_contexts` contexts, and at least half as many as documents that differ
-in the least line of some order: whole copies and repeats inside a document
-count once on both sides, (near) copies hardly more.
+Copies and near copies of one document are no recurrence. A document's sketch is
+the least of its word shingles in each of ORDERS hash orders. Of a template's
+documents, those that share a sketch count once; each of the others counts
+1 / f, f being how many of them have what it has in the AGREE-th commonest of
+its orders: a family of near copies agrees in most orders and counts about once,
+however many they are, and takes nothing from the documents beside it. A
+template recurs when this count reaches `short_docs`, or `long_docs` from
+`long_words` tokens on, as long lines hardly recur by chance.
 
 All counts are partial aggregates over thin hash rows; distinct lines, not
 lines, are parsed below the leaves; a hot line or leaf never meets in one task.
 
 Edge cases: null and empty texts have no lines to drop and stay as they are.
-Lines of under `min_tokens` tokens are never dropped. Repeated documents share
-their context. A text whose lines all go becomes empty.
+Lines of under `min_tokens` tokens are never dropped. Repeated rows share their
+sketch, so that they count once, and lose the same lines. A text whose lines all
+go becomes empty. An empty table gives no rows. Own columns of any name stand in
+a struct and can't clash.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftgram.functions import kernels as K
-from siftgram.llm.shared import materialised
+from siftgram.llm.shared import materialised, with_types
 
-MIN_CONTEXTS = 10
+SHORT_DOCS = 10
+LONG_DOCS = 2
+LONG_WORDS = 20
 MIN_TOKENS = 3
 LEADING = 3
 CONSTANT_SHARE = 0.7
-ORDERS = 3
+SHINGLE = 5
+ORDERS = 16
+AGREE = 9
 #: Hashes that may be broadcast (8 bytes each); above, a join takes their place.
 BROADCAST_ROWS = 1_000_000
 _NUMBER = np.uint64(0x5851F42D4C957F2D)
+_TURNS = np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Lines:
@@ -73,31 +80,48 @@ class Lines:
             else:
                 self.hash = self.leaf = np.zeros(0, np.uint64)
 
-    def contexts(self) -> list[np.ndarray]:
-        """Per line, its document's least line in each order."""
-        if not len(self.doc):
-            return [np.zeros(0, np.uint64)] * ORDERS
-        at = np.concatenate([[0], np.flatnonzero(np.diff(self.doc)) + 1])
-        size = np.diff(np.append(at, len(self.doc)))
-        return [np.repeat(np.minimum.reduceat(K.mix64(self.hash ^ np.uint64(r + 1)), at), size) for r in range(ORDERS)]
+
+def sketches(words: K.Words) -> np.ndarray:
+    """(documents, ORDERS): the least shingle of each document in each order; all ones without a word."""
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full((words.n_docs, ORDERS), none)
+    counts = words.counts()
+    g = K.grams(words.hash, SHINGLE)
+    whole = np.flatnonzero(counts >= SHINGLE)
+    if len(whole):
+        inside = words.doc[: len(g)] == words.doc[SHINGLE - 1 : SHINGLE - 1 + len(g)]
+        with np.errstate(over="ignore"):
+            for r, turn in enumerate(_TURNS):
+                out[whole, r] = np.minimum.reduceat(np.where(inside, g * turn, none), words.first[whole])
+    for d in np.flatnonzero((counts > 0) & (counts < SHINGLE)):
+        out[d] = K.grams(words.hash[words.first[d] : words.first[d + 1]], int(counts[d]))[0]
+    return out
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _long(values))
+
+
 def _thin(texts: DataFrame, min_tokens: int) -> DataFrame:
-    names = ["leaf", "line", *[f"c{r}" for r in range(ORDERS)]]
+    """(leaf, line, n: lists of the lines; sketch) per document that has a line of min_tokens tokens."""
+    names = ["leaf", "line", "n", "sketch"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = K.Powers()
         for batch in batches:
-            for _, _, data, offs in K.pieces(batch.column(0)):
+            for i, j, data, offs in K.pieces(batch.column(0)):
                 lines = Lines(data, offs, pows)
                 use = lines.count >= min_tokens
-                yield pa.RecordBatch.from_arrays([_long(x[use]) for x in (lines.leaf, lines.hash, *lines.contexts())], names=names)
+                sizes = np.bincount(lines.doc[use], minlength=j - i)
+                own = [_lists(x[use], sizes) for x in (lines.leaf, lines.hash, lines.count)]
+                sketch = _lists(sketches(lines.words).reshape(-1), np.full(j - i, ORDERS))
+                yield pa.RecordBatch.from_arrays([*own, sketch], names=names).filter(pa.array(sizes > 0))
 
-    return texts.mapInArrow(scan, ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(scan, ", ".join(f"{n} array<long>" for n in names))
 
 
 def _tokens(texts: DataFrame, min_tokens: int) -> DataFrame:
@@ -112,8 +136,7 @@ def _tokens(texts: DataFrame, min_tokens: int) -> DataFrame:
                 one = one[lines.count[one] >= min_tokens]
                 n = lines.count[one]
                 take = np.repeat(lines.first[one], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _long(lines.token[take]))
-                yield pa.RecordBatch.from_arrays([_long(lines.leaf[one]), _long(lines.hash[one]), lists], names=["leaf", "line", "tokens"])
+                yield pa.RecordBatch.from_arrays([_long(lines.leaf[one]), _long(lines.hash[one]), _lists(lines.token[take], n)], names=["leaf", "line", "tokens"])
 
     return texts.mapInArrow(scan, "leaf long, line long, tokens array<long>")
 
@@ -123,39 +146,52 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def templates(
-    docs: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS, min_tokens: int = MIN_TOKENS, constant_share: float = CONSTANT_SHARE
-) -> DataFrame:
-    """(line, template, n_lines, n_docs, n_contexts, recurs): line hashes below leaves that can recur, with their template."""
+    docs: DataFrame, text: str = "text", short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS, long_words: int = LONG_WORDS,
+    min_tokens: int = MIN_TOKENS, constant_share: float = CONSTANT_SHARE,
+) -> DataFrame:
+    """(line, template, n_docs, n_contexts, recurs): line hashes below leaves that can recur, with their template."""
     texts = docs.select(F.col(text).alias("t"))
-    thin = materialised(_thin(texts, min_tokens), "lines")
-    leaves = materialised(thin.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts).select("leaf"), "leaves")
-    near = thin.join(_small(leaves), "leaf", "left_semi")
-    counts = near.groupBy("line").agg(F.count("*").alias("n"))
-    tokens = _tokens(texts, min_tokens).join(_small(leaves), "leaf", "left_semi").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+    thin = materialised(_thin(texts, min_tokens).withColumn("d", F.xxhash64("sketch")), "lines")
+    each = thin.select("d", "sketch", F.explode(F.arrays_zip("leaf", "line", "n")).alias("l"))
+    need = F.when(F.col("n") >= long_words, long_docs).otherwise(short_docs)
+    leaves = each.groupBy("l.leaf").agg(F.count("*").alias("c"), F.first("l.n").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    # lines of one document and its copies are no recurrence, whatever else stands below their leaf
+    leaves = leaves.where((F.col("c") >= need) & (F.col("lo") != F.col("hi"))).select("leaf", need.alias("need"))
+    leaves = materialised(leaves, "leaves")
+    near = each.select("d", "sketch", "l.leaf", "l.line").join(_small(leaves), "leaf")
+    held = near.groupBy("line", "d").agg(F.first("leaf").alias("leaf"), F.first("need").alias("need"), F.first("sketch").alias("sketch"))
+    held = materialised(held, "held")
+    counts = held.groupBy("line").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    tokens = _tokens(texts, min_tokens).join(_small(leaves.select("leaf")), "leaf", "left_semi").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     distinct = materialised(tokens.join(counts, "line"), "distinct")
-    each = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
-    constant = each.groupBy("leaf", "at", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min_contexts).select("leaf", "at", "token", F.lit(1).alias("fixed"))
+    each = distinct.select("leaf", "line", "n", "need", F.posexplode("tokens").alias("at", "token"))
+    constant = each.groupBy("leaf", "at", "token").agg(F.sum("n").alias("s"), F.first("need").alias("need")).where("s >= need").select("leaf", "at", "token", F.lit(1).alias("fixed"))
     parsed = each.join(constant, ["leaf", "at", "token"], "left")
     shape = parsed.groupBy("leaf", "line").agg(
         F.bit_xor(F.when(F.col("fixed") == 1, F.xxhash64("at", "token"))).alias("x"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n_tokens"),
     )
     shape = shape.where(F.col("n_fixed") >= F.greatest(F.lit(min_tokens), F.ceil(constant_share * F.col("n_tokens"))))
     shape = materialised(shape.select("line", F.xxhash64("leaf", "x").alias("template")), "shapes")
-    orders = [f"c{r}" for r in range(ORDERS)]
     # a document, however often it stands or repeats a line, is one row
-    each = near.join(shape, "line").groupBy("template", *orders).agg(F.count("*").alias("n"))
-    seen = each.groupBy("template").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_docs"), *[F.count_distinct(c).alias(f"n{r}") for r, c in enumerate(orders)])
-    seen = seen.select("template", "n_lines", "n_docs", F.greatest(*[F.col(f"n{r}") for r in range(ORDERS)]).alias("n_contexts"))
-    seen = seen.withColumn("recurs", (F.col("n_contexts") >= min_contexts) & (2 * F.col("n_contexts") >= F.col("n_docs")))
-    return shape.join(seen, "template")
+    places = held.join(shape, "line").groupBy("template", "d").agg(F.first("need").alias("need"), F.first("sketch").alias("sketch"))
+    places = materialised(places, "places")
+    seen = places.groupBy("template").agg(F.count("*").alias("n_docs"), F.first("need").alias("need"))
+    can = materialised(seen.where("n_docs >= need"), "can")
+    spread = places.select("template", "d", "sketch").join(_small(can.select("template")), "template").select("template", "d", F.posexplode("sketch").alias("r", "c"))
+    spread = materialised(spread, "sketches")
+    alike = materialised(spread.groupBy("template", "r", "c").agg(F.count("*").alias("f")).where("f > 1"), "alike")
+    # what no other document has counts 1 and needs no join; a document's list has ORDERS entries at most
+    shared = spread.join(alike, ["template", "r", "c"]).groupBy("template", "d").agg(F.sort_array(F.collect_list("f"), asc=False).alias("f"))
+    excess = shared.select("template", (1 - 1 / F.coalesce(F.get("f", F.lit(AGREE - 1)), F.lit(1))).alias("less")).groupBy("template").agg(F.sum("less").alias("less"))
+    counted = can.join(excess, "template", "left").withColumn("n_contexts", F.round(F.col("n_docs") - F.coalesce("less", F.lit(0.0)), 6))
+    return shape.join(counted.select("template", "n_docs", "n_contexts", (F.col("n_contexts") >= F.col("need")).alias("recurs")), "template")
 
 
 def dropped(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with `_kept` (the text without lines of recurring templates), `_n_lines` (that have a word) and `_n_dropped`."""
+    """row (docs' own columns), kept (the text without lines of recurring templates), n_lines (that have a word), n_dropped."""
     spark = docs.sparkSession
     gone = materialised(templates(docs, text, **options).where("recurs").select("line").distinct(), "recurring")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
     few = gone.count() <= BROADCAST_ROWS
     if few:
         known = np.sort(gone.toArrow()["line"].to_numpy()).astype(np.int64).view(np.uint64)
@@ -180,24 +216,32 @@ def dropped(docs: DataFrame, text: str = "text", **options) -> DataFrame:
                 at = np.minimum(np.searchsorted(sorted_, lines.hash), max(0, len(sorted_) - 1))
                 out = np.flatnonzero(sorted_[at] == lines.hash) if len(sorted_) else np.zeros(0, np.int64)
                 n = np.bincount(lines.doc[out], minlength=j - i)
-                kept = batch.column(1).slice(i, j - i).to_pylist()
-                for d in np.flatnonzero(n):
-                    mine = out[lines.doc[out] == d] if len(out) < 64 else out[np.searchsorted(lines.doc[out], d) : np.searchsorted(lines.doc[out], d, "right")]
-                    parts, at_ = [], int(offs[d])
-                    for x in mine:
-                        parts.append(data[at_ : lines.start[x]].tobytes())
-                        at_ = int(lines.end[x])
-                    parts.append(data[at_ : offs[d + 1]].tobytes())
-                    body = b"".join(parts)
-                    # a dropped last line takes the break before it along
-                    if lines.end[mine[-1]] == offs[d + 1] and body.endswith(b"\n"):
-                        body = body[:-1]
-                    kept[d] = body.decode()
+                kept = batch.column(1).slice(i, j - i)
+                if len(out):
+                    kept = pa.array(_without(kept.to_pylist(), data, offs, lines, out), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(kept, pa.string()), pa.array(np.bincount(lines.doc, minlength=j - i)), pa.array(n)], names=["row", "_kept", "_n_lines", "_n_dropped"]
+                    [batch.column(0).slice(i, j - i), kept, pa.array(np.bincount(lines.doc, minlength=j - i)), pa.array(n)], names=["row", "kept", "n_lines", "n_dropped"]
                 )
 
-    return rows.mapInArrow(scan, f"row {kind}, _kept string, _n_lines long, _n_dropped long").select("row.*", "_kept", "_n_lines", "_n_dropped")
+    return rows.mapInArrow(scan, with_types(rows, ["row"], "kept string, n_lines long, n_dropped long"))
+
+
+def _without(texts: list, data: np.ndarray, offs: np.ndarray, lines: Lines, out: np.ndarray) -> list:
+    """The texts of a piece less the lines numbered in out."""
+    cuts = np.flatnonzero(np.diff(lines.doc[out])) + 1
+    for mine in np.split(out, cuts):
+        d = int(lines.doc[mine[0]])
+        parts, at = [], int(offs[d])
+        for x in mine:
+            parts.append(data[at : lines.start[x]].tobytes())
+            at = int(lines.end[x])
+        parts.append(data[at : offs[d + 1]].tobytes())
+        body = b"".join(parts)
+        # a dropped last line takes the break before it along
+        if lines.end[mine[-1]] == offs[d + 1] and body.endswith(b"\n"):
+            body = body[:-1]
+        texts[d] = body.decode()
+    return texts
 
 
 def _lines_of(rows: DataFrame) -> DataFrame:
@@ -214,9 +258,6 @@ def _lines_of(rows: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """docs with their own columns, the text (and n_chars, if it is there) as the drops leave it."""
     got = dropped(docs, text, **options)
-    put = {text: F.col("_kept"), n_chars: F.length("_kept").cast("long")}
-    return got.select(*[F.when(F.col("_n_dropped") > 0, put[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns])
-
-
-def sha256_hex(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()
+    put = {text: F.col("kept"), n_chars: F.length("kept").cast("long")}
+    own = lambda c: F.col(f"row.`{c}`")
+    return got.select(*[(F.when(F.col("n_dropped") > 0, put[c]).otherwise(own(c)) if c in put else own(c)).alias(c) for c in docs.columns])

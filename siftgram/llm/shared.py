@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +51,8 @@ def released(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_types(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of df's columns `names` as they are (fields of structs may have any name), then that of `more`."""
+    return T.StructType([*[T.StructField(n, df.schema[n].dataType) for n in names], *T.StructType.fromDDL(more).fields])

@@ -48,7 +48,7 @@ def labels(spark):
 OPERATORS = {
     "decontamination": lambda s, d: decontaminate.contamination(d, benchmark(s)),
     "suffixes": lambda s, d: suffixes.repeats(d),
-    "lines": lambda s, d: lines.dropped(d, min_contexts=2),
+    "lines": lambda s, d: lines.dropped(d, short_docs=2),
     "mixing": lambda s, d: mixing.mix(d),
     "toxicity": lambda s, d: toxicity.score(d, toxicity.train(d, labels(s))),
     "simhash": lambda s, d: simhash.classes(d),

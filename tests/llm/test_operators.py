@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -89,8 +90,8 @@ def brute_contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 30])
-def test_decontamination_is_exact(spark, block_words):
+@pytest.mark.parametrize("broadcast_bytes", [decontaminate.BROADCAST_BYTES, 30])
+def test_decontamination_is_exact(spark, broadcast_bytes):
     rng = random.Random(2)
     items = [(i, prose(rng, n, 30)) for i, n in enumerate([0, 1, 3, 9, 10, 11, 25, 60])] + [(8, None), (9, " ".join(["wb"] * 12))]
     docs = [(0, None), (1, ""), (2, "..."), (3, "wb " * 40)]
@@ -100,10 +101,23 @@ def test_decontamination_is_exact(spark, block_words):
         a = rng.randrange(len(source))
         host[len(host) // 2 : len(host) // 2] = source[a : a + rng.randrange(1, 20)]
         docs.append((i, ", ".join(host).upper()))
-    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast_bytes)
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == brute_contamination(docs, items)
 
 
+def test_decontamination_is_linear_in_repeated_words(spark):
+    import time
+
+    items = [(1, "zum " * 200), (2, "zum zum zum"), (3, "zum " * 12 + "end")]
+    docs = [(1, "zum " * 20_000), (2, "so " + "zum " * 11 + "end")]
+    made = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    decontaminate.contamination(*made).collect()
+    began = time.perf_counter()
+    got = {r[0]: tuple(r[1:]) for r in decontaminate.contamination(*made).collect()}
+    assert time.perf_counter() - began < 5
+    assert got == brute_contamination(docs, items)
+
+
 # 3: suffix dedup
 
 
@@ -156,40 +170,94 @@ def test_columns_find_all_equal_windows():
 # 4: lines
 
 
-def test_recurring_templates_go_and_copies_stay(spark):
+def brute_lines(texts, short=10, long_=2, long_words=20):
+    """Kept texts, with documents counted by clusters of Jaccard similarity over 0.5 in place of sketches."""
+    docs = list(dict.fromkeys(t for t in texts if t))
+    sets = [frozenset(tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))) for w in map(words, docs)]
+    token = lambda w: "#" if re.search("[0-9]", w) else w
+    holders, shape = defaultdict(set), {}
+    for d, t in enumerate(docs):
+        for line in t.split("\n"):
+            w = tuple(token(x) for x in words(line))
+            if len(w) >= 3:
+                holders[w].add(d)
+    leaves, constant = defaultdict(list), Counter()
+    for w in holders:
+        leaves[len(w), w[:3]].append(w)
+    for leaf, own in leaves.items():
+        need = long_ if leaf[0] >= long_words else short
+        for w in own:
+            for at, x in enumerate(w):
+                constant[leaf, at, x] += len(holders[w])
+        for w in own:
+            fixed = tuple((at, x) for at, x in enumerate(w) if constant[leaf, at, x] >= need)
+            if len(fixed) >= max(3, math.ceil(0.7 * len(w))):
+                shape[w] = (leaf, fixed)
+    of = defaultdict(set)
+    for w, s in shape.items():
+        of[s] |= holders[w]
+    gone = set()
+    for s, ds in of.items():
+        left, clusters = set(ds), 0
+        while left:
+            clusters, todo = clusters + 1, [left.pop()]
+            while todo:
+                a = todo.pop()
+                near = {b for b in left if len(sets[a] & sets[b]) > 0.5 * len(sets[a] | sets[b])}
+                left -= near
+                todo += near
+        if clusters >= (long_ if s[0][0] >= long_words else short):
+            gone.add(s)
+    bad = lambda line: shape.get(tuple(token(x) for x in words(line))) in gone
+    return ["\n".join(line for line in t.split("\n") if not bad(line)) if t else t for t in texts]
+
+
+def kept(spark, texts, **options):
+    return [r.kept for r in lines.dropped(documents(spark, texts), **options).orderBy("row.doc_id").collect()]
+
+
+def test_line_dedup_against_brute_force(spark):
     rng = random.Random(5)
-    texts = []
-    for i in range(30):  # one template with a number, in documents that otherwise differ
-        texts.append("\n".join([prose(rng, 12), prose(rng, 15), f"Page {i} of the printed edition, all rights kept", prose(rng, 9)]))
-    copy = "\n".join(prose(rng, 12) for _ in range(5))
-    texts += [copy] * 25
-    texts += [prose(rng, 20) + "\n" + prose(rng, 8) for _ in range(10)]
-    got = {r.doc_id: r for r in lines.dropped(documents(spark, texts)).collect()}
-    for i in range(30):
-        keep = texts[i].split("\n")
-        assert got[i]._n_dropped == 1 and got[i]._kept == "\n".join(keep[:2] + keep[3:])
-    assert all(got[i]._n_dropped == 0 and got[i]._kept == texts[i] for i in range(30, len(texts)))
-    few = lines.dropped(documents(spark, texts), min_contexts=31)
-    assert few.agg(F.sum("_n_dropped")).first()[0] == 0
-
-
-def test_copies_and_repeats_outvote_no_context(spark):
+    passage, twice = prose(rng, 60), prose(rng, 25)
+    base = [[prose(rng, 12), prose(rng, 30), prose(rng, 9)] for _ in range(90)]
+    texts = ["\n".join([a, f"Page {i} of the printed edition, all rights kept", b, c]) for i, (a, b, c) in enumerate(base[:30])]
+    texts += ["\n".join([a, f"Seen by {n} readers this week", b]) for (a, b, _), n in zip(base[30:39], "abcdefghi", strict=True)]  # nine are too few
+    texts += ["\n".join([prose(rng, 90), p, prose(rng, 80)]) for p in (passage, passage, passage, twice, twice)]
+    family = prose(rng, 200).split(" ")
+    for _ in range(60):  # near copies, long lines and short ones
+        w = list(family)
+        w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append("\n".join(" ".join(w[a:b]) for a, b in ((0, 8), (8, 60), (60, 130), (130, 200))))
+    texts += ["\n".join(base[50])] * 40 + [None, "", "\n\n", "one two"]
+    texts += ["Go back to the top of this list\n" * 3 + "\n".join(b) for b in base[60:75]]
+    got = kept(spark, texts)
+    assert got == brute_lines(texts)
+    assert [len(t.split("\n")) for t in got[:30]] == [3] * 30
+    assert sum(passage in (t or "") for t in got) == sum(twice in (t or "") for t in got) == 0
+
+
+@pytest.mark.parametrize("times,copies,near", [(1, 0, 0), (3, 0, 0), (1, 200, 0), (1, 0, 200)])
+def test_neither_copies_nor_repeats_keep_a_shared_line(spark, times, copies, near):
     rng = random.Random(14)
-    notice, again = "All of the notices on this page are kept", "Go back to the top of this list"
-    texts = ["\n".join([prose(rng, 12), notice, prose(rng, 15), again, prose(rng, 9), again, prose(rng, 11), again]) for _ in range(20)]
-    texts += [texts[0]] * 60
-    got = {r.doc_id: r for r in lines.dropped(documents(spark, texts)).collect()}
-    assert all(got[i]._n_dropped == 4 and notice not in got[i]._kept and again not in got[i]._kept for i in range(80))
+    notice = "Read the newsletter of our house every week"
+    bodies = [prose(rng, 150) for _ in range(60)]
+    texts = [b + f"\n{notice}" * times for b in bodies] + [bodies[0] + f"\n{notice}" * times] * copies
+    for _ in range(near):
+        w = bodies[1].split(" ")
+        w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w) + f"\n{notice}" * times)
+    got = kept(spark, texts)
+    assert not any(notice in t for t in got)
+    assert kept(spark, texts[60:] + texts[:2]) == texts[60:] + texts[:2]  # a family alone is no recurrence
 
 
 def test_dropped_lines_agree_without_broadcast(spark, monkeypatch):
     rng = random.Random(6)
     texts = ["\n".join([prose(rng, 12), "The same footer stands on every page", prose(rng, 10)]) for _ in range(20)] + [None, ""]
-    docs = documents(spark, texts)
-    one = sorted(map(tuple, lines.dropped(docs).select("doc_id", "_kept", "_n_dropped").collect()))
+    one = kept(spark, texts)
     monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
-    assert one == sorted(map(tuple, lines.dropped(docs).select("doc_id", "_kept", "_n_dropped").collect()))
-    assert sum(r[2] for r in one) == 20
+    assert one == kept(spark, texts)
+    assert sum("footer" in (t or "") for t in one) == 0
 
 
 # 5: mixing
