@@ -124,7 +124,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP5 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1') AS hk, md5(coalesce(text, '')) AS tie
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1:' || md5(coalesce(text, ''))) AS hk
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -144,7 +144,7 @@ WITH d AS (
   SELECT *, CAST(round(target) AS BIGINT) AS budget,
          CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM g
 ), p AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY hk, doc_id, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM d
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY hk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM d
 )
 SELECT p.doc_id, p.size, h.source_size, h.target,
        CAST(h.epochs * p.size + greatest(0, least(p.size, h.budget - h.epochs * h.source_size - p.prefix)) AS BIGINT) AS taken

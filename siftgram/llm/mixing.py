@@ -6,16 +6,18 @@ order up to the source's exact budget, so that only the document at the cut is
 taken in part.
 
 Prefix sums are distributed: the key space of a source is cut into ranges of
-equal width (the keys are uniform), ranges are summed with partial aggregation,
-the running totals over (source, range) give the range of the cut, and only the
-rows of that one range per source are put in order. No source, however large,
-meets in one task.
+equal width (the keys are uniform), at most 16**STEP at a time; ranges are summed
+with partial aggregation, their running totals give the range of the cut, and
+that range alone is cut again, until it holds about RANGE_ROWS rows. Only the
+rows of that last range are put in order. No source, however large, meets in one
+task; a running total sees 16**STEP rows of a source at most.
 
 Edge cases: a null or empty text has size 0 and takes 0 words. Null sources are
-one source, last in order. Documents that share a key (the same doc_id) are
-ordered by the hash of their text; equal rows are interchangeable. An empty
-table gives no rows. Only key, text and source are read; other columns of any
-name pass through untouched.
+one source, last in order. The key is a hash of doc_id and text, so that rows
+that share a doc_id have keys of their own; rows that share both are
+interchangeable. An empty table gives no rows. Own columns of any name stay as
+they are: where `epoch` or `take_words` is one of them, the mix's own column of
+that name gets as many `_` as set it apart.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ SHARE_PERCENT = 150
 MOST_EPOCHS = 2
 SEED = "mix-1"
 #: Rows in one key range, about; the cut of a source orders this many rows.
-RANGE_ROWS = 20_000
-_PREFIX = 8  # hexadecimal digits of the key that number the ranges
+RANGE_ROWS = 1_000
+STEP = 3  # hexadecimal digits of the key by which ranges are cut at once
 
 
 def size_of(text: Column) -> Column:
@@ -75,39 +77,38 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     keep: the documents' own columns stand in a struct `row` as well.
     """
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
-    k = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    thin = materialised(
-        docs.select(
-            F.col(key).alias("k"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), k.alias("at"),
-            F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tie"), *own,
-        ),
-        "mix",
-    )
-    lean = thin.drop("row")
+    body = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    at = F.md5(F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(f":{seed}:"), body))
+    thin = materialised(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"), at.alias("at"), *own), "mix")
+    lean = thin.select("source", "size", "at")
     n = lean.count()
-    digits = 1
-    while 16**digits * RANGE_ROWS < n and digits < _PREFIX:
+    digits = 0
+    while 16**digits * RANGE_ROWS < n:
         digits += 1
-    bin_ = F.substring("at", 1, digits)
-    bins = lean.groupBy("source", bin_.alias("bin")).agg(F.sum("size").alias("bin_size"))
-    bins = bins.withColumn("bin_before", F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)))
     goal = targets(lean.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal = (
         goal.withColumn("budget", F.round("target").cast("long"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     )
-    start = F.coalesce(F.col("bin_before"), F.lit(0))
-    cut = (
-        bins.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .where((start <= F.col("rest")) & (F.col("rest") < start + F.col("bin_size")))
-        .select(F.col("s").alias("cut_source"), F.col("bin").alias("cut_bin"), start.alias("cut_start"))
-    )
-    goal = goal.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").withColumnRenamed("source", "goal_source").drop("cut_source")
+    goal = materialised(goal, "goal")
+    cut = goal.select(F.col("source").alias("cut_source"), "rest", F.lit("").alias("cut_bin"), F.lit(0).cast("long").alias("cut_start"))
+    done = 0
+    while done < digits:
+        upto = min(digits, done + STEP)
+        inside = F.col("source").eqNullSafe(F.col("cut_source")) & (F.substring("at", 1, done) == F.col("cut_bin"))
+        bins = lean.join(_small(cut), inside).groupBy("source", F.substring("at", 1, upto).alias("bin")).agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"), F.first("cut_start").alias("cut_start"))
+        before = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        bins = bins.withColumn("start", F.col("cut_start") + F.coalesce(before, F.lit(0)))
+        cut = bins.where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("bin_size")))
+        cut = materialised(cut.select(F.col("source").alias("cut_source"), "rest", F.col("bin").alias("cut_bin"), F.col("start").alias("cut_start")), "cut")
+        done = upto
+    bin_ = F.substring("at", 1, digits)
+    goal = goal.join(cut.drop("rest"), F.col("source").eqNullSafe(F.col("cut_source")), "left").withColumnRenamed("source", "goal_source").drop("cut_source")
     rows = thin.join(_small(goal), F.col("source").eqNullSafe(F.col("goal_source")), "left").withColumn("bin", bin_)
     # rows at the cut are put in order within their range; for all others the answer needs no order
     at_cut = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
-    order = Window.partitionBy("source", "bin").orderBy("at", "k", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "bin").orderBy("at", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
     ordered = rows.where(at_cut).withColumn("prefix", F.col("cut_start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     ordered = ordered.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("prefix"))))
     others = rows.where(~at_cut).withColumn("prefix", F.lit(None).cast("long"))
@@ -123,6 +124,12 @@ def _small(goal: DataFrame) -> DataFrame:
     return F.broadcast(held) if held.count() <= 100_000 else held
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def mixed(docs: DataFrame, **names: str) -> DataFrame:
     """The mix itself: a row for each epoch of a document, with its columns, `epoch`
     and `take_words`, the number of its first words that this epoch uses."""
@@ -130,5 +137,4 @@ def mixed(docs: DataFrame, **names: str) -> DataFrame:
     times = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     each = got.where(F.col("taken") > 0).withColumn("_e", F.explode(F.sequence(F.lit(1), times)))
     words = F.least(F.col("size"), F.col("taken") - (F.col("_e") - 1) * F.col("size")).cast("long")
-    plain = [c for c in docs.columns if c not in ("epoch", "take_words")]
-    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in plain], F.col("_e").alias("epoch"), words.alias("take_words"))
+    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("_e").alias(_free("epoch", docs.columns)), words.alias(_free("take_words", docs.columns)))
