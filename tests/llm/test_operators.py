@@ -478,6 +478,42 @@ def test_forward_sums_all_segmentations():
         assert lattice.forward(model)[len(word)][0, 0] == pytest.approx(total(b" " + word))
 
 
+def test_long_words_are_summed_whole():
+    rng = np.random.default_rng(3)
+    pieces = [b" ", b" a", *(bytes([c]) for c in b"abc"), b"ab", b"bca", b"caab", "é".encode(), b"\xc3", b"\xa9", b"ab" * 8, b" ab" + b"ca" * 6]
+    p = rng.random((len(pieces) + 1, 2)) / 40
+    p[0] = 0
+    model = langid.Model(["x", "y"], langid.Model.start(["x", "y"], pieces).table, p, 1)
+    prob = {piece: p[i + 1] for i, piece in enumerate(pieces)}
+
+    def total(text):  # the plain recursion, rescaled
+        alpha, logs = [np.ones(2)], np.zeros(2)
+        for e in range(1, len(text) + 1):
+            a = sum((alpha[e - n] * v for k, v in prob.items() for n in [len(k)] if n <= e and text[e - n : e] == k), np.zeros(2))
+            alpha.append(a)
+            if e % 8 == 0 and e > 20 and a.min() > 0:
+                alpha = [x / a for x in alpha]
+                logs += np.log(a)
+        return logs + np.log(alpha[-1])
+
+    words_ = ["".join(rng.choice(["a", "b", "c", "é", "ab" * 8], n)).encode() for n in (30, 41, 80, 300, 1100, 41)]
+    body = b"".join(words_)
+    ends = np.cumsum([len(w) for w in words_])
+    starts = ends - [len(w) for w in words_]
+    got = langid.long_words(np.frombuffer(body, np.uint8), starts, ends, model, K.Powers(), blocks=3)
+    assert got == pytest.approx(np.stack([total(b" " + w) for w in words_]), rel=1e-9)
+
+
+def test_long_words_are_cut_at_characters():
+    text = ("é" * 70 + " " + "a" * 95 + "日本語" * 20).encode()
+    data = np.frombuffer(text, np.uint8)
+    w = K.Words(data, np.array([0, len(text)]), K.Powers())
+    starts, ends, of = langid.cut_long(data, w.starts, w.ends)
+    parts = [text[a:b].decode() for a, b in zip(starts, ends, strict=True)]  # decodes: no character is cut
+    assert "".join(parts) == text.decode().replace(" ", "") and (ends - starts).max() <= langid.SPAN + 3
+    assert of.tolist() == sorted(of.tolist())
+
+
 def test_languages_held_out(spark):
     rng = random.Random(12)
     sounds = {"aa": ["the", "ing", "th", "er", "and"], "bb": ["que", "eau", "les", "é", "oi"], "cc": ["sch", "ung", "ich", "ß", "der"]}
