@@ -152,9 +152,42 @@ FROM p JOIN h ON p.source IS NOT DISTINCT FROM h.source
 """
 
 
+_OP10 = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages
+), d AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p
+), v AS (
+  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS decided FROM d
+), sd AS (
+  SELECT k.kind, host, count(*) FILTER (decided = k.kind) AS m FROM v, (VALUES ('allow'), ('block')) k(kind) WHERE host <> ''
+  GROUP BY ALL HAVING 2 * count(*) FILTER (decided = k.kind) > count(*)
+), e AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
+), w AS (
+  SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM (SELECT 'allow' AS kind, src, dst, n FROM e UNION ALL SELECT 'block', dst, src, n FROM e)
+), s AS (
+  SELECT 0 AS i, kind, host, m / sum(m) OVER (PARTITION BY kind) AS t FROM sd
+  UNION ALL
+  SELECT any_value(s.i) + 1, w.kind, w.dst, sum(s.t * w.share * 0.85) FROM s JOIN w ON s.kind = w.kind AND s.host = w.src WHERE s.i < 57 GROUP BY w.kind, w.dst
+), r AS (
+  SELECT kind, host, sum(t) / sum(sum(t)) OVER (PARTITION BY kind) AS rank FROM s GROUP BY kind, host
+), b AS (
+  SELECT host FROM r GROUP BY host HAVING coalesce(sum(rank) FILTER (kind = 'block'), 0) > 0.5 * sum(rank)
+)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM v
+"""
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_line_dedup": op4_line_dedup, "op8_language_id": op8_language_id, "op6_toxicity": op6_toxicity, "op7_simhash_dedup": op7_simhash_dedup, "op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op5_mixing": op5_mixing, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
-ORACLES = {"op1_warc": _OP1, "op2_decontamination": _OP2, "op5_mixing": _OP5, "op9_quality_rules": _OP9}
+ORACLES = {"op1_warc": _OP1, "op2_decontamination": _OP2, "op5_mixing": _OP5, "op9_quality_rules": _OP9, "op10_url_filters": _OP10}
