@@ -22,11 +22,13 @@
 Edge cases: a null text is a class of its own. Texts of no words are copies only
 of byte-equal texts. Texts of under five words are one shingle. Repeated rows
 belong to one class. Ties go to smaller node ids. An empty table gives no rows.
-Nodes are named by 64 bits of a hash of their words.
+Nodes are named by 64 bits of a hash of their words. Only key and text are read,
+and own columns of any name come back through a struct, so that none can clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from siftgram.functions import kernels as K
 from siftgram.llm.components import components
-from siftgram.llm.shared import materialised, shared_dir
+from siftgram.llm.shared import materialised, shared_dir, with_types
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -109,16 +111,13 @@ def _node_hash(words: K.Words, data: np.ndarray, offs: np.ndarray) -> np.ndarray
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
         out = K.mix64((sums[words.first[1:]] - sums[words.first[:-1]]) + words.counts().astype(np.uint64) * K.BASE)
     for d in np.flatnonzero(words.counts() == 0):
-        import hashlib
-
         out[d] = np.frombuffer(hashlib.blake2b(data[offs[d] : offs[d + 1]].tobytes(), digest_size=8, person=b"no words").digest(), np.uint64)[0]
     return out
 
 
 def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, node, s1, s2 (SimHash), n (distinct shingles) per document; node is null for a null text."""
-    narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = narrow.schema["k"].dataType.simpleString()
+    narrow = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = K.Powers()
@@ -135,7 +134,7 @@ def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 node = pa.array(_node_hash(words, data, offs).view(np.int64), mask=null[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), node, pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.diff(first))], names=["k", "node", "s1", "s2", "n"])
 
-    return narrow.mapInArrow(scan, f"k {kind}, node long, s1 long, s2 long, n long")
+    return narrow.mapInArrow(scan, with_types(narrow, ["k"], "node long, s1 long, s2 long, n long"))
 
 
 def _tries(nodes: DataFrame, tries: int, more: tuple[str, ...] = ()) -> DataFrame:
@@ -332,7 +331,7 @@ def _open_pairs(nodes: DataFrame, opened: DataFrame, depth: int, tries: int, lim
 
 def _shingles(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """(node, sh): shingle sets of the wanted nodes, each from its representative's text."""
-    narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    narrow = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     rows = narrow.join(wanted, F.col("k").eqNullSafe(F.col("rep")), "inner").select("t", "node")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +402,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """One document of each class, the one with the smallest key, with its own columns."""
     found = materialised(classes(docs, key, text), "classes").withColumnRenamed(key, "_k")
     first = found.where(F.col("node").isNotNull()).groupBy(F.col("root").alias("_c")).agg(F.min_by("node", F.struct("_k", "node")).alias("_n"), F.min("_k").alias("_f"))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     gone = found.where("node is not null").join(first, F.col("root") == F.col("_c")).where(~F.col("_k").eqNullSafe(F.col("_f")) | (F.col("node") != F.col("_n")))
     # rows that repeat as a whole keep one; they are few, and only they are put together
     again = found.where("node is not null").groupBy("_k", "node").agg(F.count("*").alias("c")).where("c > 1")

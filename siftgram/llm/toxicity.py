@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from siftgram.llm import folds
 from siftgram.functions import kernels as K
 from siftgram.functions.sharing import share
-from siftgram.llm.shared import materialised
+from siftgram.llm.shared import materialised, with_types
 
 TRAIN_ROWS = 50_000
 PRIOR = 0.2  # pseudo-tokens of the Dirichlet prior, as a share of all tokens counted
@@ -192,7 +192,6 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     """key, score (0 to 1), n_passages, evidence for every document."""
     shared = share(docs.sparkSession, lexicon)
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = narrow.schema["k"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows, own = K.Powers(), shared()
@@ -202,14 +201,13 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
                 chance = _chance(e, n, own.curve) if len(own.hashes) else np.zeros(len(e))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(chance), pa.array(n.astype(np.int64)), pa.array(e)], names=["k", "score", "n_passages", "evidence"])
 
-    return narrow.mapInArrow(scan, f"k {kind}, score double, n_passages long, evidence double").withColumnRenamed("k", key)
+    return narrow.mapInArrow(scan, with_types(narrow, ["k"], "score double, n_passages long, evidence double")).withColumnRenamed("k", key)
 
 
 def toxic_passages(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, begin, end (characters of the UTF-8 bytes), passage, evidence: every significant passage."""
     shared = share(docs.sparkSession, lexicon)
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = narrow.schema["k"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows, own = K.Powers(), shared()
@@ -227,4 +225,4 @@ def toxic_passages(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text:
                     names=["k", "begin", "end", "passage", "evidence"],
                 )
 
-    return narrow.mapInArrow(scan, f"k {kind.simpleString()}, begin long, end long, passage string, evidence double").withColumnRenamed("k", key)
+    return narrow.mapInArrow(scan, with_types(narrow, ["k"], "begin long, end long, passage string, evidence double")).withColumnRenamed("k", key)

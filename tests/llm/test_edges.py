@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from siftgram.llm import decontaminate, entry, langid, lines, mixing, quality, simhash, suffixes, toxicity, urls, warc
 
-NAMES = ["row", "k", "t", "node", "h", "own", "size", "size_", "target", "epoch", "take_words", "at", "th", "spans", "_key", "_text", "_m", "_row", "bin", "host", "hits", "part", "tie", "class_id", "line"]
+NAMES = ["row", "k", "t", "node", "h", "own", "size", "size_", "target", "epoch", "take_words", "at", "th", "spans", "_key", "_text", "_m", "_row", "bin", "host", "hits", "part", "tie", "class_id", "line", "my col", "a-b", "a.b", "_kept", "_n_dropped", "kept", "n_dropped", "d", "w", "n", "source_size", "_e", "epoch_"]
 
 
 def docs(spark):
@@ -19,14 +19,17 @@ def docs(spark):
     rows = [(1, None, None, None, None), (None, None, None, None, None), (2, "", "en", "a", 0), (None, one, "en", None, 1), (3, one, None, "a", 1), (3, one, None, "a", 1), (3, prose(90), "fr", "b", 2), (4, long_, "en", "b", 3), (5, "\n\n", "en", "", 2), (6, "é" * 200, "en", "a", 200), (7, one + " tail", "en", "a", 9)]
     rows += [(10 + i, prose(70), "en" if i % 2 else "fr", "a", 5) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for i, n in enumerate(NAMES):
-        df = df.withColumn(n, F.lit(f"extra{i}"))
     return df
 
 
+def crowded(df):
+    """df with extra columns that share their names with what operators use inside."""
+    return df.select("*", *[F.lit(f"extra{i}").alias(n) for i, n in enumerate(NAMES)])
+
+
 @pytest.fixture(scope="module")
 def table(spark):
-    return docs(spark).cache()
+    return crowded(docs(spark)).cache()
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +65,22 @@ def test_operator_returns_every_row(spark, table, name):
     assert OPERATORS[name](spark, table).count() == table.count()
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_extra_columns_change_nothing(spark, table, name):
+    rows = lambda df: sorted(map(str, df.drop("row").collect()))
+    assert rows(OPERATORS[name](spark, table)) == rows(OPERATORS[name](spark, docs(spark)))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_carry_extra_columns(spark, table, sf, name, stage):
+    got = stage(spark, table, sf).select(*[F.col(f"`{c}`") for c in table.columns])
+    for row in got.collect():
+        assert row[5:] == tuple(f"extra{i}" for i in range(len(NAMES)))
+    plain = stage(spark, docs(spark), sf)
+    rows = lambda df: sorted(map(str, df.select("doc_id", "text", "lang", "source", "n_chars").collect()))
+    assert rows(got) == rows(plain)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_operator_on_an_empty_table(spark, table, name):
     assert OPERATORS[name](spark, table.limit(0)).count() == 0
