@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
+from functools import cached_property
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftgram.config import FIELD_SEPARATOR, BenchmarkSpec, ItemStopGrams, Normalization
+from siftgram.functions import kernels as K
+from siftgram.functions.scratch import materialised
 from siftgram.functions.text import blake64, missing_label, reject_pattern, rejected, tokens, unsigned, windows
 
 
@@ -18,8 +25,8 @@ class EmptyBenchmarkError(ValueError):
 
 @dataclass(frozen=True)
 class Index:
-    """items: item_idx, benchmark, item_id, fields (array<array<string>>), n_grams.
-    postings: gram, item_idx, benchmark, field_idx, fan_out (items that hold the gram)."""
+    """items: item_idx, benchmark, item_id, fields (array<array<string>>), field_names (or null), n_grams.
+    postings: gram, gram_id (a 64-bit hash of it, as kernels compute it), item_idx, benchmark, field_idx, fan_out (items that hold the gram)."""
 
     items: DataFrame
     postings: DataFrame
@@ -30,6 +37,21 @@ class Index:
     def grams(self) -> DataFrame:
         return self.postings.select("gram").distinct()
 
+    @cached_property
+    def sizes(self) -> tuple[int, int]:
+        """(posting rows, items), counted once: what may be broadcast goes by them."""
+        return self.postings.count(), self.items.count()
+
+    @cached_property
+    def names(self) -> list[str]:
+        """Benchmarks in the order of their names, which numbers them."""
+        return [r["benchmark"] for r in self.items.select("benchmark").distinct().orderBy("benchmark").collect()]
+
+    @cached_property
+    def shared(self) -> dict:
+        """Broadcasts made for scans of this index, by what they hold."""
+        return {}
+
     def save(self, path: str) -> None:
         """Tables as Parquet and a meta table; hashes for exchange stand beside the grams."""
         self.items.write.mode("overwrite").parquet(f"{path}/items")
@@ -49,6 +71,48 @@ class Index:
         return cls(spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/postings").drop("hash"), ngram, norm)
 
 
+def hash_grams(column: pa.Array, pows: K.Powers) -> np.ndarray:
+    """Hashes of n-gram strings (words between single spaces), as kernels compute them from texts."""
+    data, offs = K.buffers(column)
+    n, counts = len(data), np.zeros(len(offs) - 1, np.int64)
+    out = np.zeros(len(offs) - 1, np.uint64)
+    if not n:
+        return out
+    stop = np.zeros(n + 1, bool)
+    stop[:-1] = data == 32
+    stop[offs[1:]] = True  # a text's end
+    filled = offs[1:] > offs[:-1]
+    ends = np.flatnonzero(stop)
+    ends = ends[ends > 0]
+    begin = np.zeros(n + 1, bool)
+    begin[:-1][offs[:-1][filled]] = True
+    begin[1:][data == 32] = True
+    starts = np.flatnonzero(begin[:-1])
+    ends = ends[: len(starts)]
+    a, b = pows.upto(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(K.VALUE[data] * a[:n], out=sums[1:])
+        words = K.mix64((sums[ends] - sums[starts]) * b[starts])
+        first = np.searchsorted(starts, offs)
+        counts = np.diff(first)
+        for size in np.unique(counts[counts > 0]):
+            rows = np.flatnonzero(counts == size)
+            h = words[first[rows]].copy()
+            for j in range(1, size):
+                h = h * K.MULTIPLIER + words[first[rows] + j]
+            out[rows] = K.mix64(h)
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def gram_id(s: pd.Series) -> pd.Series:
+    column = pa.array(s, pa.large_string())
+    if not len(s):
+        return pd.Series([], dtype="int64")
+    return pd.Series(hash_grams(column, K.Powers()).view(np.int64))
+
+
 def load_benchmark(spark: SparkSession, spec: BenchmarkSpec, path: str | None = None) -> DataFrame:
     """A benchmark's rows as (benchmark, ord, fields); nested values are flattened to texts."""
     reader = spark.read.option("header", True) if spec.format == "csv" else spark.read
@@ -110,7 +174,8 @@ def build_index(
         rank = F.array_position(F.array(*[F.lit(b) for b in benchmark_order]), F.col("benchmark"))
     # one row per protected item, which is what a benchmark's size bounds
     items = benchmarks.withColumn("item_idx", (F.row_number().over(Window.orderBy(rank, "ord")) - 1).cast("int"))
-    items = items.select("item_idx", "benchmark", F.concat("benchmark", F.lit("#"), F.col("ord").cast("string")).alias("item_id"), "fields")
+    names = F.col("field_names") if "field_names" in benchmarks.columns else F.lit(None)
+    items = items.select("item_idx", "benchmark", F.concat("benchmark", F.lit("#"), F.col("ord").cast("string")).alias("item_id"), "fields", names.cast("array<string>").alias("field_names"))
     grams = _field_grams(items.select("item_idx", "benchmark", "fields"), n, norm).where(~rejected(F.col("gram"), norm)).distinct()
     if subtract is not None:
         toks = subtract.select("benchmark", tokens(F.col("text"), norm).alias("toks"))
@@ -121,15 +186,15 @@ def build_index(
         n_items = items.count()
         common = (F.col("fan_out") > item_stopgrams.max_item_share * n_items) & (F.col("fan_out") >= item_stopgrams.min_count)
         holders = holders.where(~common)
-    postings = grams.join(holders, "gram").select("gram", "item_idx", "benchmark", "field_idx", "fan_out")
+    postings = grams.join(holders, "gram").select("gram", gram_id("gram").alias("gram_id"), "item_idx", "benchmark", "field_idx", "fan_out")
     sizes = postings.groupBy("item_idx").agg(F.count_distinct("gram").alias("n_grams"))
     items = items.join(sizes, "item_idx", "left").na.fill(0, ["n_grams"])
     return Index(items, postings, n, norm)
 
 
 def cached(index: Index) -> Index:
-    """The index with its tables kept: it is small and used by every branch of a scan."""
-    return replace(index, items=index.items.cache(), postings=index.postings.cache())
+    """The index with its tables written: it is used by every branch of a scan."""
+    return replace(index, items=materialised(index.items, "items"), postings=materialised(index.postings, "postings"))
 
 
 def check_not_empty(index: Index, allow: bool = False) -> list[str]:
@@ -158,7 +223,7 @@ def reject_stats(items: DataFrame, n: int, norm: Normalization | None = None) ->
 
 def masks(index: Index) -> DataFrame:
     """(gram, hash, mask): a bit per benchmark, numbered by name, 64 at most."""
-    names = [r["benchmark"] for r in index.items.select("benchmark").distinct().orderBy("benchmark").collect()]
+    names = index.names
     if len(names) > 64:
         raise ValueError("masks hold 64 benchmarks at most")
     at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("benchmark")) - 1
@@ -174,4 +239,4 @@ def hidden_labels(rows: DataFrame, group: list[str], label: str) -> DataFrame:
 
 def numbered_postings(index: Index) -> DataFrame:
     """Postings with the gram_id that matching returns."""
-    return index.postings.withColumn("gram_id", F.xxhash64("gram"))
+    return index.postings

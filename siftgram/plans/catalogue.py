@@ -50,12 +50,19 @@ def items(spark: SparkSession, sf: str, two_fields: bool = False) -> DataFrame:
     name = F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
     whole = F.array(F.array("text"))
     lines = F.split("text", "\n")
-    split = F.array(F.array(F.get(lines, F.lit(0))), F.filter(F.slice(lines, 2, 1000), lambda x: x != ""))
+    split = F.array(F.array(F.get(lines, F.lit(0))), F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != ""))
     return b.select(name.alias("benchmark"), F.col("item_id").alias("ord"), (split if two_fields else whole).alias("fields"))
 
 
-def indexed(spark: SparkSession, sf: str, n: int = N, two_fields: bool = False, **options) -> index.Index:
-    return index.cached(index.build_index(items(spark, sf, two_fields), n, **options))
+_BUILT: dict = {}
+
+
+def indexed(spark: SparkSession, sf: str, n: int = N, two_fields: bool = False) -> index.Index:
+    """The index over a folder's benchmark, built and written once in a session, as scans read one that stands."""
+    name = (spark.sparkContext.applicationId, sf, n, two_fields)
+    if name not in _BUILT:
+        _BUILT[name] = index.cached(index.build_index(items(spark, sf, two_fields), n))
+    return _BUILT[name]
 
 
 def config(n: int = N, **more) -> ScanConfig:
@@ -70,9 +77,9 @@ CARRY = ("shard", "row_index")
 KEY = ["shard", "row_index"]
 
 
-def matched(spark: SparkSession, sf: str, ix: index.Index, n: int = N, stop: DataFrame | None = None) -> DataFrame:
+def matched(spark: SparkSession, sf: str, ix: index.Index, n: int = N, stop: DataFrame | None = None, boilerplate: int = 50) -> DataFrame:
     """Documents hold no packed separator: rows are sub-documents."""
-    return match(parts(spark, sf, config(n)), ix, stop, CARRY)
+    return match(parts(spark, sf, config(n)), ix, stop, CARRY, boilerplate=boilerplate)
 
 
 def scanned(spark: SparkSession, sf: str, cfg: ScanConfig | None = None, two_fields: bool = False) -> scans.ScanResult:
@@ -177,34 +184,34 @@ def src_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query(base(2) + "SELECT doc_id, item_idx, hits, unique_hits, shared_hits, boilerplate_hits FROM ih")
 def item_hits_split(spark: SparkSession, sf: str) -> DataFrame:
     ix = indexed(spark, sf, 2)
-    got = gates.item_hits(matched(spark, sf, ix, 2), ix, config(2, boilerplate_threshold=3), KEY)
+    got = gates.item_hits(matched(spark, sf, ix, 2, boilerplate=3), KEY)
     return got.select(F.col("row_index").alias("doc_id"), "item_idx", "hits", "unique_hits", "shared_hits", "boilerplate_hits")
 
 
 @query(base() + "SELECT doc_id, item_idx, hits, item_ngrams, item_coverage FROM iv WHERE hits >= 3 AND doc_coverage >= 0.001")
 def item_gate(spark: SparkSession, sf: str) -> DataFrame:
     ix = indexed(spark, sf)
-    got = gates.item_verdicts(matched(spark, sf, ix), ix, config(gate_mode="item"), KEY).where("item_gate")
+    got = gates.item_verdicts(matched(spark, sf, ix), config(gate_mode="item"), KEY).where("item_gate")
     return got.select(F.col("row_index").alias("doc_id"), "item_idx", "hits", "item_ngrams", "item_coverage")
 
 
 @query(base() + "SELECT doc_id, item_idx, hits, item_coverage FROM iv WHERE hits >= 3 AND item_coverage >= 0.5")
 def item_coverage_path(spark: SparkSession, sf: str) -> DataFrame:
     ix = indexed(spark, sf)
-    got = gates.item_verdicts(matched(spark, sf, ix), ix, config(min_item_coverage=0.5), KEY).where("coverage_path")
+    got = gates.item_verdicts(matched(spark, sf, ix), config(min_item_coverage=0.5), KEY).where("coverage_path")
     return got.select(F.col("row_index").alias("doc_id"), "item_idx", "hits", "item_coverage")
 
 
 @query(base() + "SELECT rn.doc_id, rn.item_idx, rn.longest_run_tokens FROM rn")
 def longest_run(spark: SparkSession, sf: str) -> DataFrame:
     ix = indexed(spark, sf)
-    return gates.longest_runs(matched(spark, sf, ix), ix, KEY).select(F.col("row_index").alias("doc_id"), "item_idx", "longest_run_tokens")
+    return gates.longest_runs(matched(spark, sf, ix), KEY).select(F.col("row_index").alias("doc_id"), "item_idx", "longest_run_tokens")
 
 
 @query(base() + "SELECT rn.doc_id, rn.item_idx FROM rn JOIN iv ON rn.doc_id = iv.doc_id AND rn.item_idx = iv.item_idx WHERE hits >= 3 AND doc_coverage >= 0.001 AND longest_run_tokens >= 20")
 def longest_run_gate(spark: SparkSession, sf: str) -> DataFrame:
     ix = indexed(spark, sf)
-    got = gates.item_verdicts(matched(spark, sf, ix), ix, config(gate_mode="item", min_longest_run=20), KEY).where("item_gate")
+    got = gates.item_verdicts(matched(spark, sf, ix), config(gate_mode="item", min_longest_run=20), KEY).where("item_gate")
     return got.select(F.col("row_index").alias("doc_id"), "item_idx")
 
 
@@ -236,7 +243,7 @@ QUALIFY row_number() OVER (PARTITION BY source, item_idx ORDER BY hits DESC, doc
 )
 def item_best(spark: SparkSession, sf: str) -> DataFrame:
     ix = indexed(spark, sf)
-    got = gates.item_best(matched(spark, sf, ix).withColumn("doc_id", F.col("row_index")), ix, config(), KEY)
+    got = gates.item_best(matched(spark, sf, ix).withColumn("doc_id", F.col("row_index")), KEY)
     return got.select("shard", "item_idx", "hits", "item_ngrams", "item_coverage", "doc_id")
 
 
@@ -568,7 +575,7 @@ lo AS (SELECT doc_id, item_idx, dsd.pos - isd.pos AS diag, count(DISTINCT dsd.po
 @query(base().rstrip() + _LOCI + "SELECT doc_id, item_idx, CAST(diag AS INT) AS diag, n_loci FROM lo")
 def spaced_loci(spark: SparkSession, sf: str) -> DataFrame:
     cfg = config()
-    found, _, _ = spaced.loci(parts(spark, sf, cfg).select(*KEY, "text"), indexed(spark, sf), cfg, KEY)
+    found = spaced.loci_kernel(parts(spark, sf, cfg).select(*KEY, "text"), indexed(spark, sf), cfg, KEY, verify=False)
     return found.select(F.col("row_index").alias("doc_id"), "item_idx", "diag", "n_loci")
 
 
@@ -581,7 +588,8 @@ SELECT doc_id, CAST(min(item_idx) AS INT) AS spaced_item FROM ok GROUP BY doc_id
 )
 def spaced_verified(spark: SparkSession, sf: str) -> DataFrame:
     cfg = config()
-    got = spaced.verified(parts(spark, sf, cfg).select(*KEY, "text"), indexed(spark, sf), cfg, KEY)
+    ix = indexed(spark, sf)
+    got = match(parts(spark, sf, cfg), ix, keep=CARRY, seeds=spaced.kernel(ix, cfg)).where("spaced_item IS NOT NULL")
     return got.select(F.col("row_index").alias("doc_id"), "spaced_item")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftgram.config import ScanConfig
 from siftgram.operators.index import Index
 from siftgram.operators.segments import with_rows
-from siftgram.plans.scan import ScanResult
+from siftgram.plans.scan import ROW, ScanResult, row_benchmarks
 
 
 def flags(result: ScanResult) -> DataFrame:
@@ -21,7 +21,7 @@ def filter_records(df: DataFrame, result: ScanResult, shard: str | None = None,
     """df without contaminated rows; schema and order of columns stay."""
     gone = result.flagged.select("shard", "row_index").distinct()
     rows = with_rows(df, shard, row_index)
-    out = rows.join(gone, (rows["__shard"].eqNullSafe(gone["shard"])) & (rows["__row"] == gone["row_index"]), "left_anti")
+    out = rows.join(gone, rows["__shard"].eqNullSafe(gone["shard"]) & rows["__row"].eqNullSafe(gone["row_index"]), "left_anti")
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -37,7 +37,7 @@ def filter_parts(df: DataFrame, result: ScanResult, shard: str | None = None, ro
     """df with contaminated parts cut out: emptied texts become "", emptied turns go, rows without any text go."""
     cfg, marks = result.cfg, flags(result).withColumnRenamed("shard", "__s").withColumnRenamed("row_index", "__r")
     rows = with_rows(df, shard, row_index)
-    rows = rows.join(marks, rows["__shard"].eqNullSafe(marks["__s"]) & (rows["__row"] == marks["__r"]), "left")
+    rows = rows.join(marks, rows["__shard"].eqNullSafe(marks["__s"]) & rows["__row"].eqNullSafe(marks["__r"]), "left")
     at = lambda ord_, turn: F.get(F.array(F.element_at("marks", F.concat(F.lit(f"{ord_}/"), turn))), F.lit(0))
     out, any_text = rows, F.lit(False)
     for i, k in enumerate(cfg.text_keys):
@@ -56,17 +56,32 @@ def filter_parts(df: DataFrame, result: ScanResult, shard: str | None = None, ro
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def removals(result: ScanResult, index: Index) -> DataFrame:
-    """benchmark, rows: contaminated rows by benchmark, a row once for each; null: all rows."""
-    from siftgram.operators import gates
-
+def removals(result: ScanResult, index: Index | None = None) -> DataFrame:
+    """benchmark, rows: contaminated rows by benchmark, by n-grams or by items that other channels found, a row once for
+    each; null: all rows."""
     key = ["shard", "row_index"]
-    by = gates.benchmark_hits(result.flagged, index, [*key, "field_ord", "turn", "part"]).select(*key, "benchmark").distinct()
+    by = row_benchmarks(result).select(*key, F.explode("benchmarks").alias("benchmark")).distinct()
     per = by.groupBy("benchmark").agg(F.count("*").alias("rows"))
     total = result.flagged.select(*key).distinct().agg(F.count("*").alias("rows")).select(F.lit(None).cast("string").alias("benchmark"), "rows")
     return per.unionByName(total)
 
 
+def removals_by(result: ScanResult, what: str) -> DataFrame:
+    """(channel or shard, rows, parts): contaminated rows and sub-documents, by channel (one may count in several) or by shard."""
+    value = F.explode("channels").alias("channel") if what == "channel" else F.col("shard")
+    each = result.flagged.select(F.struct("shard", "row_index").alias("row"), *[c for c in ROW if c not in ("shard", "row_index")], value)
+    return each.groupBy(what).agg(F.count_distinct("row").alias("rows"), F.count("*").alias("parts"))
+
+
+def removed_ids(result: ScanResult) -> DataFrame:
+    """shard, row_index, id, channels, benchmarks of every contaminated row."""
+    rows = row_benchmarks(result).groupBy("shard", "row_index").agg(
+        F.first("id").alias("id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("channels"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("benchmarks")))).alias("benchmarks"),
+    )
+    return rows
+
+
 def check_consistent(result: ScanResult) -> None:
     """A filter needs an uncapped scan whose rows are known."""
     if result.cfg.max_return_records:

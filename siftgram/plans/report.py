@@ -44,7 +44,7 @@ def leak_by_item(hits: DataFrame, index: Index, boilerplate_threshold: int = 50,
 def hits_by_shard(hits: DataFrame, index: Index) -> DataFrame:
     """shard, benchmark, n: distinct n-grams of a benchmark met in a shard."""
     of = numbered_postings(index).select("gram_id", "benchmark").distinct()
-    return hits.join(gates.small(of), "gram_id").groupBy("shard", "benchmark").agg(F.count("*").alias("n"))
+    return hits.join(gates.small(of, index.sizes[0]), "gram_id").groupBy("shard", "benchmark").agg(F.count("*").alias("n"))
 
 
 def leak_by_shard(hits: DataFrame, index: Index, summary: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def field_matches(field_hits: DataFrame, index: Index) -> DataFrame:
     """kind, n: (sub-document, item) pairs by which fields matched: full, question_only, partial, single_field."""
     all_fields = index.postings.select("item_idx", "field_idx").distinct().groupBy("item_idx").agg(F.collect_set("field_idx").alias("all_fields"))
     key = [c for c in field_hits.columns if c not in ("field_idx", "hits")]
-    got = field_hits.groupBy(*key).agg(F.collect_set("field_idx").alias("fields")).join(gates.small(all_fields), "item_idx")
+    got = field_hits.groupBy(*key).agg(F.collect_set("field_idx").alias("fields")).join(gates.small(all_fields, index.sizes[1]), "item_idx")
     kind = (
         F.when(F.size("all_fields") == 1, F.lit("single_field"))
         .when(F.size(F.array_except("all_fields", "fields")) == 0, F.lit("full"))

@@ -123,7 +123,7 @@ def test_kernel_and_join_plans_agree(spark):
         p = segments.sub_documents(segments.segments(corpus(spark, texts), cfg, "shard", "row"), cfg)
         for s in (None, stop):
             got = [
-                {r.row_index: (r.skipped, r.n_tokens, r.n_grams, r.n_kept, sorted((h.pos, h.gram_id) for h in r.hits)) for r in matching.match(p, ix, s, ("row_index",), plan).collect()}
+                {r.row_index: (r.skipped, r.n_tokens, r.n_grams, r.n_kept, r.n_hits, sorted((h.pos, h.gram_id) for h in r.hits), r.sources, r.items) for r in matching.match(p, ix, s, ("row_index",), plan).collect()}
                 for plan in ("kernel", "join")
             ]
             assert got[0] == got[1]
