@@ -2,43 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the setting is missing, as in unit tests, a folder of this
-    machine is used; a cluster has to name one that every node sees.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    context_dir = spark.sparkContext.getCheckpointDir()
-    if not got:
-        if context_dir is None:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftgram-"))
-            context_dir = spark.sparkContext.getCheckpointDir()
-        got = context_dir
-    elif context_dir is None:
-        spark.sparkContext.setCheckpointDir(got)
-    return got.rstrip("/")
 
+from siftgram.functions.scratch import materialised, scratch, shared_dir
+from siftgram.functions.sharing import with_types
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/siftgram-{what}-{uuid.uuid4().hex}"
-
-
-def materialised(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: short lineage, no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialised", "released", "scratch", "shared_dir", "table", "with_types"]
 
 
 def released(df: DataFrame) -> None:
@@ -51,8 +20,3 @@ def released(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def with_types(df: DataFrame, names: list[str], more: str) -> T.StructType:
-    """The schema of df's columns `names` as they are (fields of structs may have any name), then that of `more`."""
-    return T.StructType([*[T.StructField(n, df.schema[n].dataType) for n in names], *T.StructType.fromDDL(more).fields])
