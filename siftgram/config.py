@@ -81,9 +81,14 @@ class Normalization:
     def is_default(self) -> bool:
         return self.word == WORD and self.reject == REJECT and self.nfkc
 
+    def as_json(self) -> str:
+        return json.dumps([sorted(self.stop_words), self.word, list(self.reject), self.nfkc])
+
     def fingerprint(self) -> str:
-        body = json.dumps([sorted(self.stop_words), self.word, list(self.reject), self.nfkc])
-        return hashlib.blake2b(body.encode(), digest_size=32).hexdigest()
+        return hashlib.blake2b(self.as_json().encode(), digest_size=32).hexdigest()
+
+    def sha256(self) -> str:
+        return hashlib.sha256(self.as_json().encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -138,16 +143,35 @@ class ScanConfig:
 
 @dataclass(frozen=True)
 class BenchmarkSpec:
-    """A protected benchmark: where it is and which fields are protected."""
+    """A protected benchmark: where it is and which fields are protected.
+
+    path is a file, a folder or a glob; with configs, a folder of `<config>/<split>*`.
+    revision is a string of provenance: nothing is downloaded.
+    """
 
     name: str
     path: str
     fields: tuple[str, ...]
     format: str = "parquet"
-    split: str = "test"
+    splits: tuple[str, ...] = ("test",)
     revision: str | None = None
     subtract: tuple[str, ...] = ()  # paths of splits whose n-grams don't count
     label_field: str | None = None
+    dataset: str | None = None
+    configs: tuple[str, ...] = ()  # ("*",): every folder below path
+    drop_configs: tuple[str, ...] = ()
+    data_files: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        for ok, what in (
+            (self.name.strip(), "a benchmark needs a name"),
+            (self.fields and all(f.strip() for f in self.fields), f"{self.name}: fields have to be named"),
+            (self.splits and all(x.strip() for x in self.splits), f"{self.name}: splits have to be named"),
+            (self.format in ("parquet", "json", "jsonl", "csv"), f"{self.name}: format is parquet, json, jsonl or csv"),
+            (self.label_field is None or self.label_field.strip(), f"{self.name}: label_field can't be blank"),
+        ):
+            if not ok:
+                raise ValueError(what)
 
 
 @dataclass(frozen=True)

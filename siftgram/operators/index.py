@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import warnings
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -17,6 +19,7 @@ from siftgram.config import FIELD_SEPARATOR, BenchmarkSpec, ItemStopGrams, Norma
 from siftgram.functions import kernels as K
 from siftgram.functions.scratch import materialised
 from siftgram.functions.text import blake64, missing_label, reject_pattern, rejected, tokens, unsigned, windows
+from siftgram.sources.shards import collect_files, folders, read_jsonl
 
 
 class EmptyBenchmarkError(ValueError):
@@ -52,25 +55,45 @@ class Index:
         """Broadcasts made for scans of this index, by what they hold."""
         return {}
 
-    def save(self, path: str) -> None:
-        """Tables as Parquet and a meta table; hashes for exchange stand beside the grams."""
+    def save(self, path: str, about: dict | None = None) -> dict:
+        """Tables as Parquet (items, postings with hashes for exchange, benchmarks) and, last of all, a meta table."""
         self.items.write.mode("overwrite").parquet(f"{path}/items")
         self.postings.withColumn("hash", blake64("gram")).write.mode("overwrite").parquet(f"{path}/postings")
-        spark = self.items.sparkSession
-        meta = {"version": 2, "ngram": self.ngram, "normalization": self.normalization.fingerprint()}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        stats(self).coalesce(1).write.mode("overwrite").parquet(f"{path}/benchmarks")
+        meta = {"version": 3, "ngram": self.ngram, "normalization": self.normalization.fingerprint(), "normalization_sha256": self.normalization.sha256(), "benchmarks": self.names}
+        meta |= {"content": self.fingerprint()} | (about or {})
+        write_meta(self.items.sparkSession, f"{path}/meta", meta)
+        return meta
+
+    def fingerprint(self) -> str:
+        """Of what the index holds: a sum of hashes of its postings and items, whatever their order."""
+        wide = lambda df, *c: df.agg(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.count("*")).first()
+        body = [self.ngram, self.normalization.fingerprint(), *map(str, wide(self.postings, "gram", "item_idx", "field_idx")), *map(str, wide(self.items, "item_idx", "item_id"))]
+        return hashlib.sha256(json.dumps(body).encode()).hexdigest()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, ngram: int, normalization: Normalization | None = None) -> Index:
         norm = normalization or Normalization()
-        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        if meta["ngram"] != ngram:
-            raise ValueError(f"the index has n = {meta['ngram']}, the scan {ngram}")
-        if meta["normalization"] != norm.fingerprint():
-            raise ValueError("the index was built with another normalization")
+        check_meta(read_meta(spark, f"{path}/meta"), ngram, norm, "the index")
         return cls(spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/postings").drop("hash"), ngram, norm)
 
 
+def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
+
+
+def check_meta(meta: dict, ngram: int, norm: Normalization, what: str) -> None:
+    """Artifacts have to agree with the scan in n and normalization."""
+    if meta["ngram"] != ngram:
+        raise ValueError(f"{what} has n = {meta['ngram']}, the scan {ngram}")
+    if meta["normalization"] != norm.fingerprint():
+        raise ValueError(f"{what} was built with another normalization")
+
+
 def hash_grams(column: pa.Array, pows: K.Powers) -> np.ndarray:
     """Hashes of n-gram strings (words between single spaces), as kernels compute them from texts."""
     data, offs = K.buffers(column)
@@ -113,16 +136,87 @@ def gram_id(s: pd.Series) -> pd.Series:
     return pd.Series(hash_grams(column, K.Powers()).view(np.int64))
 
 
-def load_benchmark(spark: SparkSession, spec: BenchmarkSpec, path: str | None = None) -> DataFrame:
-    """A benchmark's rows as (benchmark, ord, fields); nested values are flattened to texts."""
-    reader = spark.read.option("header", True) if spec.format == "csv" else spark.read
-    df = reader.format(spec.format).load(path or spec.path)
-    missing = [f for f in spec.fields if f not in df.columns]
-    if missing:
-        raise ValueError(f"{spec.name}: no field {', '.join(missing)}; there are {df.columns}")
-    values = F.array(*[field_value(df, f) for f in spec.fields])
-    order = F.row_number().over(Window.orderBy(F.col("_metadata.file_path"), F.col("_metadata.row_index"))) - 1 if spec.format == "parquet" else F.monotonically_increasing_id()
-    return df.select(F.lit(spec.name).alias("benchmark"), order.cast("long").alias("ord"), values.alias("fields"))
+@dataclass(frozen=True)
+class SplitStatus:
+    """What became of one (config, split) of a benchmark."""
+
+    benchmark: str
+    config: str | None
+    split: str
+    path: str
+    rows: int | None
+    error: str | None
+
+
+def split_paths(spark: SparkSession, spec: BenchmarkSpec) -> list[tuple[str | None, str, str]]:
+    """(config, split, path): configs `*` are the folders below the path; `all` goes where others make it up."""
+    if spec.data_files:
+        return [(None, spec.splits[0], f"{spec.path.rstrip('/')}/{f}") for f in spec.data_files]
+    if not spec.configs:
+        return [(None, spec.splits[0], spec.path)]
+    configs = list(spec.configs)
+    if configs == ["*"]:
+        configs = folders(spark, spec.path)
+        if len(configs) > 1 and "all" in configs:
+            configs.remove("all")
+    configs = [c for c in configs if c not in spec.drop_configs]
+    return [(c, split, f"{spec.path.rstrip('/')}/{c}/{split}*") for c in configs for split in spec.splits]
+
+
+def _table(spark: SparkSession, spec: BenchmarkSpec, path: str) -> DataFrame:
+    """A split's rows with `__file` and `__at`, which don't depend on how files are split."""
+    if spec.format == "parquet":
+        return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    if spec.format == "jsonl":
+        return read_jsonl(spark, collect_files([path], spark)).withColumnRenamed("shard", "__file").withColumnRenamed("row_index", "__at")
+    # a file of several lines a record is one split, in its order
+    df = spark.read.option("header", True).option("multiLine", True).format(spec.format).load(path)
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+
+
+def load_benchmark(spark: SparkSession, spec: BenchmarkSpec, path: str | None = None, status: list[SplitStatus] | None = None) -> DataFrame:
+    """A benchmark's rows as (benchmark, ord, fields, field_names); nested values are flattened to texts.
+
+    Splits that can't be read are noted in `status`; when none can, or no list is given, that is an error.
+    """
+    out, failed = None, None
+    splits = [(None, spec.splits[0], path)] if path else split_paths(spark, spec)
+    for at, (config, split, place) in enumerate(splits):
+        try:
+            df = _table(spark, spec, place)
+            missing = [f for f in spec.fields if f not in df.columns]
+            if missing:
+                raise ValueError(f"{spec.name}: no field {', '.join(missing)}; there are {[c for c in df.columns if not c.startswith('__')]}")
+            if spec.label_field and spec.label_field in df.columns and df.where(~missing_label(F.col(f"`{spec.label_field}`"))).isEmpty():
+                warnings.warn(f"{spec.name}: all labels of {split} are missing: it is hardly the split that is scored", stacklevel=2)
+            one = df.select(F.lit(at).alias("__split"), "__file", "__at", F.array(*[field_value(df, f) for f in spec.fields]).alias("fields"))
+            if status is not None:
+                status.append(SplitStatus(spec.name, config, split, place, one.count(), None))
+        except Exception as e:
+            if status is None:
+                raise
+            status.append(SplitStatus(spec.name, config, split, place, None, f"{type(e).__name__}: {e}"[:500]))
+            failed = e
+            continue
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"{spec.name}: no split could be read") from failed
+    # one row per protected item, which is what a benchmark's size bounds
+    order = F.row_number().over(Window.orderBy("__split", "__file", "__at")) - 1
+    names = F.array(*[F.lit(f) for f in spec.fields])
+    return out.select(F.lit(spec.name).alias("benchmark"), order.cast("long").alias("ord"), "fields", names.alias("field_names"))
+
+
+def check_revisions(specs: list[BenchmarkSpec], allow_unpinned: bool = False, most: int = 64) -> None:
+    """Benchmarks that name a dataset have to pin its revision; masks hold `most` benchmarks."""
+    loose = [s.name for s in specs if s.dataset and not s.revision]
+    if loose and not allow_unpinned:
+        raise ValueError(f"no revision: {', '.join(loose)}")
+    names = [s.name for s in specs]
+    if len(set(names)) < len(names):
+        raise ValueError("benchmarks share a name")
+    if len(names) > most:
+        raise ValueError(f"{len(names)} benchmarks; an index holds {most} at most")
 
 
 def field_value(df: DataFrame, name: str):
@@ -221,6 +315,16 @@ def reject_stats(items: DataFrame, n: int, norm: Normalization | None = None) ->
     return _field_grams(items, n, norm).groupBy(reject_pattern(F.col("gram"), norm).alias("pattern_idx")).agg(F.count("*").alias("n"))
 
 
+def top_rejected(items: DataFrame, n: int, norm: Normalization | None = None, k: int = 10) -> DataFrame:
+    """(pattern_idx, n): the k patterns that reject most windows."""
+    return reject_stats(items, n, norm).where("pattern_idx IS NOT NULL").orderBy(F.desc("n"), "pattern_idx").limit(k)
+
+
+def source_ids(mask) -> F.Column:
+    """The numbers of the benchmarks in a mask, ascending."""
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.getbit(mask, i) == 1, i)), lambda i: i.isNotNull())
+
+
 def masks(index: Index) -> DataFrame:
     """(gram, hash, mask): a bit per benchmark, numbered by name, 64 at most."""
     names = index.names

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftgram.config import ScanConfig
+from siftgram.functions.scratch import materialised
 from siftgram.operators.index import Index
+from siftgram.operators.index import stats as index_stats
 from siftgram.operators.segments import with_rows
-from siftgram.plans.scan import ROW, ScanResult, row_benchmarks
+from siftgram.plans.scan import ROW, ScanResult, row_benchmarks, scan
+from siftgram.sources import files as small
+from siftgram.sources import shards
 
 
 def flags(result: ScanResult) -> DataFrame:
@@ -90,6 +97,111 @@ def check_consistent(result: ScanResult) -> None:
         raise ValueError("flagged records without row_index")
 
 
-def dataset_card(removed: DataFrame) -> str:
+def dataset_card(removed: DataFrame, stats: DataFrame | None = None, settings: dict | None = None) -> str:
+    """Rows removed by benchmark, with what the index holds of each where it is given; a benchmark's counts stand once."""
     rows = removed.orderBy(F.col("benchmark").asc_nulls_first()).collect()
-    return "\n".join(["| benchmark | rows removed |", "|:-|:-|", *[f"| {r['benchmark'] or 'all'} | {r['rows']} |" for r in rows]]) + "\n"
+    lines = ["| benchmark | rows removed |", "|:-|:-|"]
+    if stats is None:
+        lines += [f"| {r['benchmark'] or 'all'} | {r['rows']} |" for r in rows]
+    else:
+        gone = {r["benchmark"]: r["rows"] for r in rows}
+        lines = [f"Rows removed: {gone.get(None, 0)}", "", "| benchmark | items | n-grams | rows removed |", "|:-|-:|-:|-:|"]
+        # stats may have several rows for a benchmark's splits: the first of them carries the counts
+        order = Window.partitionBy("benchmark").orderBy("n_items")
+        for r in stats.withColumn("turn", F.row_number().over(order)).orderBy("benchmark", "turn").collect():
+            first = r["turn"] == 1
+            lines.append(f"| {r['benchmark']} | {r['n_items'] if first else '-'} | {r['n_ngrams'] if first else '-'} | {gone.get(r['benchmark'], 0) if first else '-'} |")
+    if settings:
+        lines += ["", "A row counts for every benchmark that its flagged text matches.", "", "Settings: " + ", ".join(f"{k} = {v}" for k, v in sorted(settings.items()) if v not in (None, False, ""))]
+    return "\n".join(lines) + "\n"
+
+
+RESERVED = ("removed_ids", "card.md", "filter_manifest.json", "_scan")
+
+
+def plan_filter(spark: SparkSession, inputs: list[str], out: str, overwrite: bool = False) -> dict[str, str]:
+    """input file -> name of the cleaned file. Nothing may be lost: an error where inputs and outputs overlap, names collide
+    or the folder holds other files."""
+    files = shards.collect_files(inputs, spark)
+    shards.check_stems(files)
+    place = lambda p: os.path.realpath(p) if "://" not in p else p.rstrip("/")
+    target = place(out)
+    for one in inputs:
+        if target == place(one) or target.startswith(place(one) + "/"):
+            raise ValueError(f"{out} lies inside the input {one}")
+    for f in files:
+        if f.startswith(target + "/"):
+            raise ValueError(f"the input {f} lies inside {out}")
+    names = {f: f.rsplit("/", 1)[-1] for f in files}
+    taken = sorted(set(names.values()) & set(RESERVED))
+    if taken:
+        raise ValueError(f"reserved names: {', '.join(taken)}")
+    there = small.names_in(spark, out)
+    if there and not overwrite:
+        raise ValueError(f"{out} is not empty; --overwrite replaces an earlier filter's files")
+    if there:
+        if "filter_manifest.json" not in there:
+            raise ValueError(f"{out} holds files that no filter wrote")
+        known = set(small.get_json(spark, f"{out}/filter_manifest.json")["files"]) | set(RESERVED)
+        strange = [n for n in there if n not in known and not n.startswith(".")]
+        if strange:
+            raise ValueError(f"{out} holds {', '.join(strange[:5])}, which no filter wrote")
+        for n in there:
+            small.remove(spark, f"{out}/{n}")
+    return names
+
+
+def write_filtered(
+    spark: SparkSession, inputs: list[str], out: str, index: Index, cfg: ScanConfig, granularity: str = "record",
+    stopgrams: DataFrame | None = None, overwrite: bool = False,
+) -> dict:
+    """Scans without a cap and writes every shard under its own name, less what is contaminated; also removed_ids, a card
+    and a manifest. JSON lines that stay are byte for byte what they were, if whole records go."""
+    if granularity not in ("record", "subdoc"):
+        raise ValueError("granularity is record or subdoc")
+    names = plan_filter(spark, inputs, out, overwrite)
+    about = shards.survey(spark, list(names), digest=False)
+    broken = [f"{a['path']}: {a['error']}" for a in about if a["error"]]
+    if broken:
+        raise ValueError("unreadable shards, nothing was written: " + "; ".join(broken))
+    cfg = replace(cfg, max_return_records=0)
+    df = shards.read_shards(spark, inputs, list(names))
+    result = scan(df, index, cfg, "shard", "row_index", stopgrams)
+    result = replace(result, decided=materialised(result.flagged, "flagged"))
+    check_consistent(result)
+    gone = result.flagged.select("shard", "row_index").distinct()
+    own = {shards.stem(f): n for f, n in names.items()}
+    groups: dict[tuple[str, str], list[str]] = {}
+    for a in about:
+        kind = "parquet" if a["path"].endswith(".parquet") else "lines"
+        groups.setdefault((kind, a["codec"] if kind == "parquet" else shards.packing(a["path"])), []).append(a["path"])
+    written = []
+    for (kind, codec), files in groups.items():
+        work = f"{out}/_scan/{kind}-{codec}"
+        if kind == "lines" and granularity == "record":
+            shards.filter_lines(spark, files, gone, work)
+        else:
+            part = shards.read_shards(spark, inputs, files)
+            kept = (filter_records if granularity == "record" else filter_parts)(part, result, "shard", "row_index")
+            kept = kept.repartition("shard").sortWithinPartitions("shard", "row_index").drop("row_index")
+            if kind == "lines":
+                body = F.to_json(F.struct(*[c for c in kept.columns if c != "shard"]))
+                kept.select("shard", body.alias("value")).write.partitionBy("shard").option("compression", codec).text(work)
+            else:
+                kept.write.partitionBy("shard").option("compression", codec if codec in ("snappy", "gzip", "zstd", "lz4", "brotli") else "none").parquet(work)
+        written += shards.rename_parts(spark, work, out, own)
+    small.remove(spark, f"{out}/_scan")
+    removed = removed_ids(result)
+    body = F.to_json(F.struct(*removed.columns))
+    removed.orderBy("shard", "row_index").select(body.alias("value")).write.mode("overwrite").text(f"{out}/removed_ids")
+    by = {name: {(r[0] or "all"): r["rows"] for r in t.collect()} for name, t in (("benchmark", removals(result)), ("channel", removals_by(result, "channel")), ("shard", removals_by(result, "shard")))}
+    manifest = {
+        "granularity": granularity, "files": sorted([*written]), "missing": sorted(set(names.values()) - set(written)), "index": index.fingerprint(),
+        "fingerprint": cfg.fingerprint(), "rows_before": df.count(), "rows_contaminated": gone.count(), "parts_flagged": result.flagged.count(), "removals": by,
+    }
+    if max((r["m"] for r in gone.groupBy("shard").agg(F.max("row_index").alias("m")).join(df.groupBy("shard").agg(F.max("row_index").alias("last")), "shard", "left").where("last IS NULL OR m > last").collect()), default=-1) >= 0:
+        raise ValueError("flagged rows lie past the end of their shards: inputs changed during the run")
+    settings = {k: getattr(cfg, k) for k in ("ngram", "min_hits", "min_coverage", "gate_mode", "min_item_coverage", "min_longest_run", "exact_channel", "spaced")}
+    small.put(spark, f"{out}/card.md", dataset_card(removals(result), index_stats(index), settings))
+    small.put_json(spark, f"{out}/filter_manifest.json", manifest)
+    return manifest

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftgram.operators import gates
@@ -15,6 +15,19 @@ def _ratio(a: str, b: str):
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
 
 
+#: How tables are sorted where they are written.
+ORDER = {
+    "leak_by_benchmark": [F.desc, "fraction", F.asc, "benchmark"],
+    "leak_by_item": [F.desc, "fraction", F.desc, "leaked", F.asc, "benchmark", F.asc, "item_idx"],
+    "leak_by_shard": [F.desc, "unique_grams", F.asc, "shard"],
+}
+
+
+def ordered(table: DataFrame, name: str) -> DataFrame:
+    turns = ORDER[name]
+    return table.orderBy(*[way(c) for way, c in zip(turns[::2], turns[1::2], strict=True)])
+
+
 def leak_by_benchmark(hits: DataFrame, index: Index) -> DataFrame:
     """benchmark, leaked, total, fraction: distinct n-grams met anywhere against distinct n-grams indexed."""
     of = numbered_postings(index).select("gram_id", "benchmark").distinct()
@@ -100,15 +113,80 @@ def _head(*names: str) -> list[str]:
     return [f"| {' | '.join(names)} |", "|" + ":-|" * len(names)]
 
 
-def markdown(benchmarks: DataFrame, shards: DataFrame, top: int = 10) -> str:
-    """A short rendering of the top rows."""
+def _texts(records: DataFrame) -> DataFrame:
+    """(shard, doc_id, item_idx, hits, what was found of the text) per record and item, from n-grams and from the exact channel."""
+    keep = ["choices_found", "choices_total", "numbers_total", "numbers_matched", "lcs_chars", "lcs_ratio"]
+    by_gram = records.select("shard", "doc_id", F.explode("item_hits").alias("i")).where("i.text IS NOT NULL")
+    by_gram = by_gram.select("shard", "doc_id", F.col("i.item_id").alias("item_idx"), F.col("i.hits").alias("hits"), *[F.col(f"i.text.{c}").alias(c) for c in keep])
+    exact = records.select("shard", "doc_id", F.explode("exact_hits").alias("i")).select("shard", "doc_id", F.col("i.item_id").alias("item_idx"), F.lit(0).cast("long").alias("hits"), *[F.col(f"i.{c}").alias(c) for c in keep])
+    both = by_gram.unionByName(exact)
+    return both.groupBy("shard", "doc_id", "item_idx").agg(F.max("hits").alias("hits"), *[F.max(c).alias(c) for c in keep])
+
+
+def variants(records: DataFrame) -> DataFrame:
+    """Template variants among the records of a run."""
+    from siftgram.operators.exact import template_variants
+
+    return template_variants(_texts(records))
+
+
+def exact_of(records: DataFrame) -> DataFrame:
+    """exact_summary() of the records of a run."""
+    pairs = records.select("shard", "doc_id", F.explode("exact_hits").alias("e")).select(F.col("e.item_id").alias("item_idx"), "e.choices_found", "e.choices_total")
+    return exact_summary(records, pairs)
+
+
+def fields_of(records: DataFrame) -> DataFrame:
+    """(shard, doc_id, item_idx, field_idx, hits) of the records of a run."""
+    each = records.select("shard", "doc_id", F.explode("item_hits").alias("i")).select("shard", "doc_id", F.col("i.item_id").alias("item_idx"), F.explode("i.field_hits").alias("f"))
+    return each.select("shard", "doc_id", "item_idx", F.col("f.field").alias("field_idx"), F.col("f.hits").alias("hits"))
+
+
+def markdown(benchmarks: DataFrame, shards: DataFrame, top: int = 10, worst: int = 20, each: DataFrame | None = None, per: int = 5, examples: list[str] | None = None) -> str:
+    """A short rendering: the `top` benchmarks, the `worst` shards, `per` shards of each benchmark, and sample files."""
     lines = ["# Leak report", "", *_head("benchmark", "leaked", "total", "fraction")]
     lines += [f"| {r['benchmark']} | {r['leaked']} | {r['total']} | {r['fraction']:.4f} |" for r in benchmarks.orderBy(F.desc("fraction"), "benchmark").limit(top).collect()]
     lines += ["", *_head("shard", "distinct n-grams", "per 1,000 documents")]
-    lines += [f"| {r['shard']} | {r['unique_grams']} | {r['per_1k_docs']:.2f} |" for r in worst_shards(shards, top).collect()]
+    lines += [f"| {r['shard']} | {r['unique_grams']} | {r['per_1k_docs']:.2f} |" for r in worst_shards(shards, worst).collect()]
+    if each is not None:
+        lines += ["", *_head("benchmark", "shard", "distinct n-grams")]
+        lines += [f"| {r['benchmark']} | {r['shard']} | {r['n']} |" for r in worst_shards_per_benchmark(each, per).orderBy("benchmark", "rank").collect()]
+    if examples:
+        lines += ["", "Records:", "", *[f"- `{e}`" for e in examples]]
     return "\n".join(lines) + "\n"
 
 
 def as_json(**tables: DataFrame) -> str:
     """Small report tables as one JSON document."""
     return json.dumps({k: [r.asDict(recursive=True) for r in t.collect()] for k, t in tables.items()}, sort_keys=True, default=str)
+
+
+def write_report(spark: SparkSession, run_dir: str, index: Index, out: str, topk_overall: int = 50, topk_per_benchmark: int = 20, boilerplate_threshold: int = 50) -> dict:
+    """The report of a finished run, from its tables alone: tables as CSV and Parquet, report.json and report.md."""
+    from siftgram.plans import run as runs
+    from siftgram.sources import files
+
+    about = files.get_json(spark, f"{run_dir}/manifest.json")
+    if about["index"] != index.fingerprint():
+        raise ValueError("the run was made with another index")
+    summary = runs.summaries(spark, run_dir).where((F.col("fingerprint") == about["fingerprint"]) & F.col("error").isNull())
+    met, records = runs.hits(spark, run_dir).join(summary.select("shard"), "shard", "left_semi"), runs.read_records(spark, run_dir)
+    by_benchmark = ordered(leak_by_benchmark(met, index), "leak_by_benchmark")
+    by_shard = leak_by_shard(met, index, summary)
+    each = hits_by_shard(met, index)
+    listed = ordered(by_shard.join(shard_benchmarks(each), "shard", "left"), "leak_by_shard")
+    tables = {"leak_by_benchmark": by_benchmark, "leak_by_shard": listed, "leak_by_item": ordered(leak_by_item(met, index, boilerplate_threshold, runs.item_best(spark, run_dir)), "leak_by_item"), "template_variants": variants(records)}
+    for name, t in tables.items():
+        t.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+    shown = [n for n in files.names_in(spark, f"{run_dir}/records") if n.startswith("shard=")]
+    examples = [f"records/{n}" for n in shown[:10]]
+    body = {
+        "summary": about["summary"], "benchmarks": [r.asDict() for r in by_benchmark.collect()],
+        "worst_shards": [r.asDict() for r in worst_shards(listed, topk_overall).collect()],
+        "worst_shards_per_benchmark": [r.asDict() for r in worst_shards_per_benchmark(each, topk_per_benchmark).orderBy("benchmark", "rank").collect()],
+        "field_matches": {r["kind"]: r["n"] for r in field_matches(fields_of(records), index).collect()},
+        "exact": exact_of(records).first().asDict(), "examples": {"files": examples, "found": len(shown)},
+    }
+    files.put_json(spark, f"{out}/report.json", body)
+    files.put(spark, f"{out}/report.md", markdown(by_benchmark, by_shard, each=each, examples=examples))
+    return body

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgram.config import ScanConfig
+from siftgram.functions.scratch import materialised
 from siftgram.operators.index import Index
 from siftgram.plans.scan import scan
 
@@ -37,6 +38,57 @@ def planted(index: Index, variants: tuple[str, ...] = VARIANTS, every: int = 1)
     return out.unionByName(controls).withColumn("shard", F.lit("planted"))
 
 
+def insert(host, plant):
+    """plant as a paragraph of its own after the middle paragraph of host."""
+    parts = F.split(host, "\n\n")
+    half = F.ceil(F.size(parts) / 2).cast("int")
+    rest = F.slice(parts, half + 1, F.greatest(F.size(parts) - half, F.lit(0)))
+    return F.concat_ws("\n\n", F.array_join(F.slice(parts, 1, half), "\n\n"), plant, F.when(F.size(rest) > 0, F.array_join(rest, "\n\n")))
+
+
+def planted_in(index: Index, hosts: DataFrame, variants: tuple[str, ...] = VARIANTS, every: int = 1) -> DataFrame:
+    """planted(), in real texts: hosts (text) are numbered in a hash order and used in turn; controls are hosts alone."""
+    texts = hosts.where(F.col("text").isNotNull() & (F.col("text") != "")).select("text").distinct()
+    need = index.sizes[1] * (len(variants) + 1)
+    # as many hosts as plants at most, the first in a hash order
+    first = texts.orderBy(F.xxhash64("text"), "text").limit(need)
+    numbered = materialised(first.withColumn("h", F.row_number().over(Window.orderBy(F.xxhash64("text"), "text")) - 1), "hosts")
+    n = numbered.count()
+    if not n:
+        raise ValueError("no host has a text")
+    text = F.array_join(F.flatten("fields"), "\n")
+    items = index.items.where((F.col("item_idx") % every == 0) & (F.col("n_grams") > 0))
+    kinds = [F.struct(F.lit(i).alias("v"), F.lit(k).cast("string").alias("variant"), (variant(text, k) if k else F.lit(None).cast("string")).alias("plant")) for i, k in enumerate([*variants, None])]
+    rows = items.select("item_idx", F.explode(F.array(*kinds)).alias("v")).select("item_idx", "v.*")
+    rows = rows.withColumn("row_index", (F.col("item_idx") * (len(variants) + 1) + F.col("v")).cast("long"))
+    both = rows.join(numbered.withColumnRenamed("text", "host"), F.col("row_index") % n == F.col("h"))
+    body = F.when(F.col("plant").isNull(), F.col("host")).otherwise(insert(F.col("host"), F.col("plant")))
+    return both.select("row_index", F.when(F.col("plant").isNull(), "control").otherwise("planted").alias("kind"), "item_idx", "variant", body.alias("text"), F.lit("planted").alias("shard"))
+
+
+def save_planted(truth: DataFrame, out: str) -> None:
+    """The planted documents as a shard, and the truth beside them."""
+    truth.select("row_index", "shard", "text").coalesce(1).sortWithinPartitions("row_index").write.mode("overwrite").parquet(f"{out}/planted")
+    truth.drop("text").write.mode("overwrite").parquet(f"{out}/truth")
+
+
+def cells(index: Index, truth: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
+    """variant, channel, planted, matchable, found, recall: recall of each channel by variant; under `control` what is
+    found is a false positive, and recall its rate. Channel `any` is their union."""
+    cfg = cfg or ScanConfig(ngram=index.ngram, id_key=None, packed_doc_sep=None)
+    result = scan(truth.select("row_index", "shard", "text"), index, cfg, "shard", "row_index")
+    seen = result.flagged.select("row_index", F.explode(F.concat("channels", F.array(F.lit("any")))).alias("channel")).distinct()
+    names = F.explode(F.array(*[F.lit(c) for c in ("any", "ngram", "spaced", "exact")])).alias("channel")
+    every = truth.join(index.items.select("item_idx", "n_grams"), "item_idx").select("row_index", F.coalesce("variant", F.lit("control")).alias("variant"), "n_grams", names)
+    rows = every.join(seen.withColumn("seen", F.lit(True)), ["row_index", "channel"], "left")
+    out = rows.groupBy("variant", "channel").agg(
+        F.count("*").alias("planted"), F.count_if(F.col("n_grams") >= cfg.min_hits).alias("matchable"), F.count_if(F.coalesce("seen", F.lit(False))).alias("found"),
+        F.count_if(F.coalesce("seen", F.lit(False)) & (F.col("n_grams") >= cfg.min_hits)).alias("found_matchable"),
+    )
+    of = F.when(F.col("variant") == "control", F.col("found") / F.col("planted")).otherwise(F.col("found_matchable") / F.nullif(F.col("matchable"), F.lit(0)))
+    return out.withColumn("recall", of)
+
+
 def recall(index: Index, cfg: ScanConfig | None = None, variants: tuple[str, ...] = VARIANTS) -> DataFrame:
     """variant, planted, matchable (items with min_hits n-grams), found; controls stand under variant `control`."""
     cfg = cfg or ScanConfig(ngram=index.ngram, id_key=None, packed_doc_sep=None)
