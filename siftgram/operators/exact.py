@@ -59,16 +59,16 @@ def lighten(t: str, with_nfkc: bool = True) -> str:
     return _SPACE.sub(" ", (unicodedata.normalize("NFKC", t) if with_nfkc else t).lower()).strip(" ")
 
 
-def is_bounded(text: str, needle: str) -> bool:
-    """Whether some occurrence, also one that overlaps another, touches no letter or digit with one of its own."""
+def first_bounded(text: str, needle: str) -> int | None:
+    """The place of the first occurrence, also one that overlaps another, that touches no letter or digit with one of its own."""
     alnum = lambda c: _ALNUM.match(c) is not None
     left, right, at = alnum(needle[0]), alnum(needle[-1]), text.find(needle)
     while at >= 0:
         end = at + len(needle)
         if not (left and at > 0 and alnum(text[at - 1])) and not (right and end < len(text) and alnum(text[end])):
-            return True
+            return at
         at = text.find(needle, at + 1)
-    return False
+    return None
 
 
 class Questions:
@@ -139,7 +139,7 @@ class Questions:
             for d, row in sorted(self._candidates(piece, at, self.pows)):
                 if i + d not in texts:
                     texts[i + d] = lighten(column[i + d].as_py() or "", self.with_nfkc)
-                if self.texts[row] in texts[i + d] and is_bounded(texts[i + d], self.texts[row]):
+                if self.texts[row] in texts[i + d] and first_bounded(texts[i + d], self.texts[row]) is not None:
                     items[i + d].append(int(self.item[row]))
         return pa.array([sorted(x) for x in items], pa.list_(pa.int32()))
 

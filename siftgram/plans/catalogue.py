@@ -160,19 +160,16 @@ def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
     return matched(spark, sf, indexed(spark, sf)).select(F.col("row_index").alias("doc_id"), "n_grams")
 
 
-_GRAMS = [
-    "option a", "options b c", "which of the following", "select best answer", "none of the above", "all above", "both a and b", "true false true",
-    "a ii only", "correct answer here is", "find value x", "solve for x", "simplify expression", "what probability", "compute sum", "equation line",
-    "if and only if", "statement one is false", "according to passage", "plain words stay", "", "iii only", "i or ii",
-]
+_EVERY_WINDOW = f"""SELECT array_to_string(t[i:i + 2], ' ') AS gram FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM (SELECT {toks("text")} AS t FROM documents UNION ALL SELECT {toks("text")} FROM benchmark) WHERE len(t) >= 3)"""
 
 
 @query(
-    "SELECT gram, trim(gram) = '' OR regexp_matches(gram, '" + _REJECT + "') AS rejected FROM (SELECT unnest([" + ", ".join(f"'{g}'" for g in _GRAMS) + "]) AS gram)"
+    f"SELECT pattern_idx, count(*) AS n FROM (SELECT CASE {' '.join(f"WHEN regexp_matches(gram, '(?i){p}') THEN {i}" for i, p in enumerate(REJECT))} END AS pattern_idx FROM ({_EVERY_WINDOW})) GROUP BY pattern_idx"
 )
 def reject_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(g,) for g in _GRAMS], "gram string")
-    return rows.select("gram", X.rejected(F.col("gram")).alias("rejected"))
+    """Windows of three tokens of all documents and items, by the pattern that rejects them."""
+    texts = documents(spark, sf).select("text").unionByName(spark.read.parquet(f"{sf}/benchmark.parquet").select("text"))
+    return index.reject_stats(texts.select(F.array(F.array("text")).alias("fields")), 3)
 
 
 @query(base() + "SELECT h.doc_id, benchmark, count(*) AS hits FROM h JOIN bg ON h.gram = bg.gram GROUP BY ALL")
@@ -291,7 +288,7 @@ def benchmark_masks(spark: SparkSession, sf: str) -> DataFrame:
     return index.masks(indexed(spark, sf)).groupBy("mask").agg(F.count("*").alias("n"))
 
 
-_BACKGROUND = f"""bg0 AS (SELECT doc_id, {toks("text")} AS t FROM documents WHERE lang = 'en' AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+_BACKGROUND = f"""bg0 AS (SELECT doc_id, {toks("text")} AS t FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
 {wins("bw", "bg0", 2, "doc_id")},
 st AS (SELECT gram, count(DISTINCT doc_id) AS df FROM bw GROUP BY gram HAVING count(DISTINCT doc_id) >= greatest(1, ceil(0.05 * (SELECT count(*) FROM bg0))))"""
 
@@ -302,7 +299,7 @@ def background_stopgrams(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _background(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spread(spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("text"))
+    rows = spread(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
     return stopgrams.background_documents(rows, ["text"])
 
 
@@ -508,6 +505,15 @@ def filter_removals(spark: SparkSession, sf: str) -> DataFrame:
 # exact and spaced channels
 
 
+def _places(text: str, needle: str) -> str:
+    """SQL: numbers of the pieces of text that a word-bounded occurrence of needle follows."""
+    pieces = f"string_split({text}, {needle})"
+    before = f"CASE WHEN {pieces}[i] = '' AND i > 1 THEN {needle} ELSE {pieces}[i] END"
+    after = f"CASE WHEN {pieces}[i + 1] = '' AND i + 1 < len({pieces}) THEN {needle} ELSE {pieces}[i + 1] END"
+    touch = lambda x, y: f"(regexp_matches(right({x}, 1), '^{_A}$') AND regexp_matches(left({y}, 1), '^{_A}$'))"
+    return f"list_filter(range(1, len({pieces})), lambda i: NOT {touch(before, needle)} AND NOT {touch(needle, after)})"
+
+
 def _light(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g'))"
 
@@ -515,9 +521,32 @@ def _light(x: str) -> str:
 _A = r"[\p{L}\p{N}]"
 _EXACT = f"""SELECT d.doc_id, q.item_idx FROM (SELECT doc_id, {_light("text")} AS l FROM d0) d
 JOIN (SELECT it.item_idx, {_light("text")} AS q, n_grams FROM it JOIN sz ON it.item_idx = sz.item_idx) q ON length(q.q) >= 12 AND contains(d.l, q.q)
-WHERE len(list_filter(range(1, len(string_split(d.l, q.q))), lambda i:
-  NOT (regexp_matches(right(CASE WHEN string_split(d.l, q.q)[i] = '' AND i > 1 THEN q.q ELSE string_split(d.l, q.q)[i] END, 1), '^{_A}$') AND regexp_matches(left(q.q, 1), '^{_A}$'))
-  AND NOT (regexp_matches(right(q.q, 1), '^{_A}$') AND regexp_matches(left(CASE WHEN string_split(d.l, q.q)[i + 1] = '' AND i + 1 < len(string_split(d.l, q.q)) THEN q.q ELSE string_split(d.l, q.q)[i + 1] END, 1), '^{_A}$')))) > 0"""
+WHERE len({_places("d.l", "q.q")}) > 0"""
+
+
+@query(
+    base()
+    + f"""SELECT benchmark, count(DISTINCT doc_id) AS rows FROM (
+  SELECT fl.doc_id, bg.benchmark FROM fl JOIN h ON fl.doc_id = h.doc_id JOIN bg ON h.gram = bg.gram
+  UNION ALL SELECT e.doc_id, it.benchmark FROM ({_EXACT}) e JOIN it ON e.item_idx = it.item_idx) GROUP BY benchmark
+UNION ALL SELECT NULL, count(*) FROM (SELECT doc_id FROM fl UNION SELECT doc_id FROM ({_EXACT}))"""
+)
+def filter_removals_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Removals by benchmark where the exact channel flags rows that n-grams don't."""
+    return filtering.removals(scanned(spark, sf, config(13, max_return_records=0, exact_channel="all")))
+
+
+@query(
+    base()
+    + """, ok AS (SELECT DISTINCT doc_id FROM iv WHERE hits >= 3 AND doc_coverage >= 0.001)
+SELECT shard, count(*) FILTER (n_bytes >= 26) AS scanned, count(ok.doc_id) AS contaminated FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN source END AS shard FROM dt) t
+LEFT JOIN ok ON t.doc_id = ok.doc_id GROUP BY shard"""
+)
+def null_shard_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The item gate over rows of which half have no shard and two thirds no row number."""
+    cfg = config(gate_mode="item")
+    rows = documents(spark, sf).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("shard"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("row"))
+    return scans.shard_summary(scans.scan(rows, indexed(spark, sf), cfg, "shard", "row")).select("shard", "scanned", "contaminated")
 
 
 @query(base() + _EXACT)
@@ -532,7 +561,18 @@ def exact_short(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_hits(parts(spark, sf, cfg).select(*KEY, "text"), indexed(spark, sf), cfg, KEY).select(F.col("row_index").alias("doc_id"), "item_idx")
 
 
-@query()
+_NEAR = f"""WITH q AS (SELECT CAST(row_number() OVER (ORDER BY benchmark, item_id) - 1 AS INT) AS item_idx, {_light("string_split(text, chr(10))[1]")} AS q,
+  list_filter(list_transform(string_split(text, chr(10))[2:], lambda x: {_light("x")}), lambda x: x <> '') AS cs
+  FROM (SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS benchmark, item_id, text FROM benchmark)),
+p AS (SELECT d.doc_id, q.*, d.l, {_places("d.l", "q.q")} AS pl FROM (SELECT doc_id, {_light("text")} AS l FROM documents) d JOIN q ON length(q.q) >= 12 AND contains(d.l, q.q)),
+s AS (SELECT *, CAST(list_sum(list_transform(string_split(l, q)[1:pl[1]], lambda x: length(x))) + (pl[1] - 1) * length(q) AS BIGINT) AS b FROM p WHERE len(pl) > 0),
+w AS (SELECT *, substring(l, greatest(0, b - 1000) + 1, b + length(q) + 1000 - greatest(0, b - 1000)) AS near FROM s),
+c AS (SELECT doc_id, item_idx, unnest(CASE WHEN len(cs) = 0 THEN [NULL] ELSE cs END) AS c, len(cs) AS n, near FROM w)
+SELECT doc_id, item_idx, CAST(count(*) FILTER (c IS NOT NULL AND contains(near, c) AND len({_places("near", "c")}) > 0) AS INT) AS choices_found, CAST(any_value(n) AS INT) AS choices_total
+FROM c GROUP BY doc_id, item_idx"""
+
+
+@query(_NEAR)
 def choices_near(spark: SparkSession, sf: str) -> DataFrame:
     cfg = config(exact_channel="all")
     got = exact.exact_hits(parts(spark, sf, cfg).select(*KEY, "text"), indexed(spark, sf, N, True), cfg, KEY)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftgram.config import DOC_SEPARATOR, DOC_SEPARATOR_TYPO, FIELD_SEPARATOR, ItemStopGrams, Normalization, ScanConfig
 from siftgram.operators import exact, index, matching, segments, spaced, stopgrams
+from siftgram.operators.detector import Detector
 from siftgram.plans import filtering, report, scan, selftest
 
 
@@ -206,3 +207,96 @@ def test_config_checks():
         with pytest.raises(ValueError):
             ScanConfig(**bad)
     assert ScanConfig(min_hits=4).fingerprint() != ScanConfig().fingerprint()
+
+
+def test_detector_and_scan_agree(spark):
+    rng = random.Random(6)
+    words = [f"w{i}x" for i in range(60)] + ["the", "select", "answer", FIELD_SEPARATOR]
+    items = [" ".join(rng.choices(words, k=40)) for _ in range(8)]
+    texts = []
+    for _ in range(60):
+        t = rng.choice(items).split(" ")
+        a = rng.randrange(0, 20)
+        t = t[a : a + rng.randrange(5, 40)]
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(99)}y"
+        texts.append(" ".join(rng.choices(words, k=5) + t))
+    ix = index.cached(index.build_index(bench(spark, [[t] for t in items]), 13))
+    mine = Detector(items)
+    r = run(spark, texts, ix, spaced=True)
+    got = {x.row_index: x for x in r.decided.select("row_index", "ngram_flag", "spaced_item", "skipped", "n_kept").collect()}
+    for i, t in enumerate(texts):
+        want = mine.exact(t)
+        assert got[i].ngram_flag == want
+        if not want and not got[i].skipped and got[i].n_kept:
+            assert got[i].spaced_item == mine.spaced(t), i
+    assert {x.ngram_flag for x in got.values()} == {True, False} and any(x.spaced_item is not None for x in got.values())
+    assert mine.spaced(texts[0], verify=False) is None or mine.candidates(texts[0])
+    cfg, key = ScanConfig(), ["row_index"]
+    parts = corpus(spark, texts).select(F.col("row").alias("row_index"), "text")
+    found, _, _ = spaced.loci(parts, ix, cfg, key)
+    by_kernel = spaced.loci_kernel(parts, ix, cfg, key, verify=False)
+    rows = lambda df: sorted((x.row_index, x.item_idx, x.diag, x.n_loci) for x in df.collect())
+    assert rows(found) == rows(by_kernel) != []
+    best = {x.row_index: x.spaced_item for x in spaced.verified(parts, ix, cfg, key).collect()}
+    kernel = {}
+    for x in spaced.loci_kernel(parts, ix, cfg, key, verify=True).collect():
+        kernel[x.row_index] = min(x.item_idx, kernel.get(x.row_index, 99))
+    assert best == kernel
+
+
+def test_plans_agree_with_null_and_repeated_keys(spark):
+    item = " ".join(f"q{i}z" for i in range(30))
+    edited = " ".join("oops" if i in (8, 20) else f"q{i}z" for i in range(24))
+    ask = "What is 2+3 apples in total?"
+    ix = index.cached(index.build_index(bench(spark, [[item], [ask, "five"]]), 13))
+    rows = [("a", item, None, None), ("b", item, None, None), ("c", edited, "s", None), ("d", ask, None, 3), ("e", "clean words", None, None), ("f", item, "s", 1), ("f", item, "s", 1)]
+    df = spark.createDataFrame(rows, "id string, text string, shard string, row long")
+    for more in ({}, {"gate_mode": "item"}, {"min_item_coverage": 0.5}):
+        cfg = ScanConfig(spaced=True, exact_channel="all", confirm=True, max_return_records=0, **more)
+        got = [scan.scan(df, ix, cfg, "shard", "row", plan=p) for p in ("kernel", "join")]
+        marks = [sorted(map(str, r.flagged.select("id", "channels", "spaced_item", "match_count").collect())) for r in got]
+        assert marks[0] == marks[1] and len(marks[0]) == 6
+        told = [sorted(map(str, scan.records(r).collect())) for r in got]
+        assert told[0] == told[1] and len(told[0]) == 6
+        assert {x.benchmark: x.rows for x in filtering.removals(got[0]).collect()} == {"b": 4, None: 4}
+        assert sorted(x.id for x in filtering.filter_records(df, got[0], "shard", "row").collect()) == []
+    by = {x.channel: x.parts for x in filtering.removals_by(got[0], "channel").collect()}
+    assert by == {"ngram": 4, "spaced": 1, "exact": 5}
+    two = {x.doc_id: x for x in scan.records(got[0]).collect()}
+    assert two["d-part-0"].exact_hits[0].numbers_matched == 2 and two["a-part-0"].item_hits[0].text.lcs_ratio == 1.0
+
+
+def test_template_variants_and_text_evidence(spark):
+    ask = " ".join(f"word{i}q" for i in range(16)) + " costs 40 dollars and 7 cents altogether now"
+    ix = index.cached(index.build_index(bench(spark, [[ask, ["blue whale"]]]), 13))
+    texts = [ask.replace("40", "41") + " blue whale", ask + " blue whale"]
+    r = run(spark, texts, ix, confirm=True, exact_channel="all")
+    got = {x.doc_id: x.item_hits[0].text for x in scan.records(r).collect()}
+    assert got["d1-part-0"].choices_found == 1 and got["d0-part-0"].choices_found is None
+    assert (got["d0-part-0"].numbers_matched, got["d0-part-0"].numbers_total) == (1 + got["d1-part-0"].numbers_total - 2, got["d1-part-0"].numbers_total)
+    assert exact.first_bounded("xab ab", "ab") == 4 and exact.first_bounded("xab", "ab") is None
+    assert [x.bit_ids for x in spark.sql("SELECT 5L AS m").select(index.source_ids(F.col("m")).alias("bit_ids")).collect()] == [[0, 2]]
+
+
+def test_self_test_in_real_hosts(spark, tmp_path):
+    items = [[" ".join(f"q{i}w{j}" for j in range(20))] for i in range(3)]
+    ix = index.cached(index.build_index(bench(spark, items), 13))
+    hosts = corpus(spark, ["first paragraph\n\nsecond one\n\nthird", "only one", "", None, "only one"])
+    truth = selftest.planted_in(ix, hosts)
+    selftest.save_planted(truth, str(tmp_path))
+    back = spark.read.parquet(str(tmp_path / "planted"))
+    assert back.count() == 15 == spark.read.parquet(str(tmp_path / "truth")).count()
+    cells = {(r.variant, r.channel): r for r in selftest.cells(ix, truth).collect()}
+    assert all(cells[v, "any"].recall == cells[v, "ngram"].recall == 1.0 for v in selftest.VARIANTS)
+    assert cells["control", "any"].found == 0 and cells["control", "any"].recall == 0.0 and cells["verbatim", "spaced"].found == 0
+    one = back.where("text like 'first%q0%'").first().text
+    assert one.split("\n\n")[:2] == ["first paragraph", "second one"] and one.endswith("third")
+
+
+def test_reject_statistics(spark):
+    items = bench(spark, [["select one best answer please now"], ["true false true false here"], ["plain words only stay"]]).select("benchmark", "fields")
+    got = {r.pattern_idx: r.n for r in index.reject_stats(items, 3).collect()}
+    assert sum(got.values()) == 4 + 3 + 2 and got[None] >= 1
+    top = index.top_rejected(items, 3).collect()
+    assert [r.n for r in top] == sorted((n for p, n in got.items() if p is not None), reverse=True)
