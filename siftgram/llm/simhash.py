@@ -13,9 +13,10 @@
 4. Buckets that were refined, that lie over the end of a range or that the first
    pass left pairs of are open: the climb goes back to the depth that reaches the
    recall, and a bucket is whole whatever its size. Every pair of theirs within
-   the distance limit is verified, but for pairs that verified links already put
-   in one class, and pairs of sets too unequal in size. Large ones are compared
-   block by block.
+   the distance limit is verified, the nearest first, but for pairs that verified
+   links already put in one class, and pairs of sets too unequal in size. Large
+   ones are compared block by block; a pair is compared in the first trie where
+   it meets, and sets travel to blocks, not to pairs.
 5. Verified links form classes (connected components); the class id is the
    smallest doc_id.
 
@@ -137,9 +138,14 @@ def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return narrow.mapInArrow(scan, with_types(narrow, ["k"], "node long, s1 long, s2 long, n long"))
 
 
+def _orders(tries: int) -> list[np.ndarray]:
+    """Each trie's own order of the bits."""
+    return [np.random.Generator(np.random.PCG64(1000 + t)).permutation(_BITS) for t in range(tries)]
+
+
 def _tries(nodes: DataFrame, tries: int, more: tuple[str, ...] = ()) -> DataFrame:
     """(trie, key, rest, node) and `more` columns of long: a node's bits, in each trie's own order."""
-    orders = [np.random.Generator(np.random.PCG64(1000 + t)).permutation(_BITS) for t in range(tries)]
+    orders = _orders(tries)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +280,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def across(key, rest, n, root, side, limit: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of all pairs of different roots within the limit, of sizes that allow the threshold; between sides, where there are two."""
-    names, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+def across(s1, s2, n, root, side, limit: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (i, j) and their distances, of all pairs of different roots within the limit, of sizes that allow the threshold; between sides, where there are two."""
+    of, counts = np.unique(root, return_inverse=True, return_counts=True)[1:]
     main = of == np.argmax(counts)  # rows of the commonest root need not meet each other
-    everything = np.arange(len(key))
+    everything = np.arange(len(s1))
     if len(np.unique(side)) > 1:
         one, two = side == side.min(), side != side.min()
         jobs = [(np.flatnonzero(one & ~main), np.flatnonzero(two)), (np.flatnonzero(two & ~main), np.flatnonzero(one & main))]
@@ -288,45 +294,132 @@ def across(key, rest, n, root, side, limit: int, threshold: float) -> Iterator[t
         step = max(1, 1_000_000 // max(1, len(right)))
         for at in range(0, len(left), step):
             i = left[at : at + step, None]
-            far = np.bitwise_count(key[i] ^ key[right]) + np.bitwise_count(rest[i] ^ rest[right])
+            far = np.bitwise_count(s1[i] ^ s1[right]).astype(np.int16) + np.bitwise_count(s2[i] ^ s2[right])
             x, y = np.nonzero(far <= limit)
-            x, y = left[at + x], right[y]
+            far, x, y = far[x, y], left[at + x], right[y]
             fits = (of[x] != of[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
             if fits.any():
-                yield x[fits], y[fits]
-
-
-def _open_pairs(nodes: DataFrame, opened: DataFrame, depth: int, tries: int, limit: int, threshold: float) -> DataFrame:
-    """(a, b): all pairs of open buckets (trie, prefix) that may be links between classes. nodes: node, s1, s2, n, root."""
-    rows = _tries(nodes, tries, ("n", "root")).withColumn("prefix", F.shiftright("key", 64 - depth))
-    mine = rows.join(_small(opened), ["trie", "prefix"], "left_semi")
-    sizes = mine.groupBy("trie", "prefix").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    sizes = materialised(sizes.select("trie", "prefix", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+                yield x[fits], y[fits], far[fits]
+
+
+def prefixes_of(s1, s2, tries: int, depth: int) -> np.ndarray:
+    """(tries, rows): the first `depth` bits of nodes in each of the first tries."""
+    bits = np.unpackbits(np.stack([s1, s2], axis=1).view(np.int64).astype(">i8").view(np.uint8).reshape(len(s1), 16), axis=1)
+    weights = np.int64(1) << np.arange(depth, dtype=np.int64)
+    orders = _orders(tries)
+    return np.stack([bits[:, o[:depth]] @ weights for o in orders]) if tries else np.zeros((0, len(s1)), np.int64)
+
+
+class Cell:
+    """Nodes of an open bucket, or of two of its blocks, that may be links between classes."""
+
+    def __init__(self, trie, s1, s2, node, n, root, side, depth: int, limit: int, threshold: float):
+        self.s1, self.s2, self.node, self.n, self.root, self.side = s1.view(np.uint64), s2.view(np.uint64), node, n, root, side
+        self.limit, self.threshold = limit, threshold
+        self.before = prefixes_of(s1, s2, int(trie), depth)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows and distances of pairs that meet in this trie first: those that share a bucket of an earlier one are compared there."""
+        for x, y, far in across(self.s1, self.s2, self.n, self.root, self.side, self.limit, self.threshold):
+            new = ~(self.before[:, x] == self.before[:, y]).any(axis=0)
+            if new.any():
+                yield x[new], y[new], far[new]
+
+    def near(self) -> np.ndarray:
+        """Rows that are in some pair."""
+        seen = np.zeros(len(self.node), bool)
+        for x, y, _ in self.pairs():
+            seen[x] = seen[y] = True
+        return np.flatnonzero(seen)
+
+    def links(self, values: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Rows of verified pairs, enough to connect all classes that some pair links. values, first: the rows' shingle sets.
+
+        A pair of classes is one as soon as one pair of theirs is verified; the nearest are looked at first, and all
+        others only of classes that stay apart.
+        """
+        label = np.unique(self.root, return_inverse=True)[1]
+        for xs, ys, fars in self.pairs():
+            for one in np.split(np.argsort(xs, kind="stable"), np.flatnonzero(np.diff(np.sort(xs))) + 1):
+                x = int(xs[one[0]])
+                todo = ys[one[np.argsort(fars[one], kind="stable")]]
+                mine, size = values[first[x] : first[x + 1]], 8
+                while len(todo := todo[label[todo] != label[x]]):
+                    now, todo = todo[:size], todo[size:]
+                    size *= 4
+                    count = first[now + 1] - first[now]
+                    at = np.repeat(first[now], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                    place = np.minimum(np.searchsorted(mine, values[at]), len(mine) - 1)
+                    common = np.add.reduceat(mine[place] == values[at], np.cumsum(count) - count)
+                    for y in now[common >= self.threshold * (len(mine) + count - common)].tolist():
+                        if label[y] != label[x]:
+                            label[label == label[y]] = label[x]
+                            yield x, y
+
+
+def _cells(rows: DataFrame, sizes: DataFrame, depth: int, limit: int, threshold: float, out: str, make) -> DataFrame:
+    """make(cell, set column) over the cells of open buckets; rows: trie, prefix, s1, s2, node, n, root and, where they are to be verified, sh."""
     dealt = rows.join(_small(sizes), ["trie", "prefix"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = ["trie", "prefix", "x", "y"]
-    dealt = dealt.select("trie", "prefix", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "key", "rest", "node", "n", "root", "side")
+    sets = ["sh"] if "sh" in rows.columns else []
+    dealt = dealt.select("trie", "prefix", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "s1", "s2", "node", "n", "root", "side", *sets)
     dealt = dealt.repartition(*cell).sortWithinPartitions(*cell)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush(rows, all_of_them):
-            change = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in range(4)], axis=0)) + 1
-            cuts = [0, *change.tolist(), *([len(rows[0])] if all_of_them else [])]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                _, _, _, _, key, rest, node, n, root, side = (r[lo:hi] for r in rows)
-                for i, j in across(key.view(np.uint64), rest.view(np.uint64), n, root, side, limit, threshold):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-            held[:] = [r[cuts[-1] :] for r in rows]
+        held: list[pa.RecordBatch] = []
+
+        def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            c = [table.column(i).to_numpy() for i in range(10)]
+            own = Cell(c[0][0], c[4], c[5], c[6], c[7], c[8], c[9], depth, limit, threshold)
+            yield from make(own, c[0][0], c[1][0], table.column(10).combine_chunks() if sets else None)
+
+        def cut(rows: list[pa.RecordBatch], all_of_them: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows)
+            keys = [table.column(i).to_numpy() for i in range(4)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            ends = [0, *change.tolist(), *([table.num_rows] if all_of_them else [])]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                yield from whole(table.slice(lo, hi - lo))
+            held[:] = table.slice(ends[-1]).combine_chunks().to_batches()
 
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in range(10)]
-            yield from flush([np.concatenate(c) for c in zip(held, new, strict=True)] if held else new, False)
+            if batch.num_rows:
+                yield from cut([*held, batch], False)
         if held:
-            yield from flush(held, True)
+            yield from cut(held, True)
 
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    return dealt.mapInArrow(scan, out)
+
+
+def _open_links(nodes: DataFrame, opened: DataFrame, depth: int, tries: int, limit: int, threshold: float, sets_of) -> DataFrame:
+    """(a, b): links that connect whatever pairs of open buckets (trie, prefix) connect. nodes: node, s1, s2, n, root.
+
+    Nodes with a pair to verify are found first, by their prints; sets_of(nodes) gives the shingle sets of those alone, and a
+    set travels to the cells of its node, not with every pair.
+    """
+    rows = _tries(nodes.withColumn("b1", F.col("s1")).withColumn("b2", F.col("s2")), tries, ("n", "root", "b1", "b2")).withColumn("prefix", F.shiftright("key", 64 - depth))
+    rows = rows.select("trie", "prefix", F.col("b1").alias("s1"), F.col("b2").alias("s2"), "node", "n", "root")
+    mine = rows.join(_small(opened), ["trie", "prefix"], "left_semi")
+    sizes = mine.groupBy("trie", "prefix").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    sizes = materialised(sizes.select("trie", "prefix", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+
+    def near(cell: Cell, trie, prefix, _) -> Iterator[pa.RecordBatch]:
+        who = cell.node[cell.near()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), trie, np.int32)), pa.array(np.full(len(who), prefix, np.int64)), pa.array(who)], names=["trie", "prefix", "node"])
+
+    some = materialised(_cells(rows, sizes, depth, limit, threshold, "trie int, prefix long, node long", near).distinct(), "open-nodes")
+    sh = sets_of(some.select("node").distinct())
+
+    def links(cell: Cell, trie, prefix, sets) -> Iterator[pa.RecordBatch]:
+        first = sets.offsets.to_numpy().astype(np.int64)
+        found = list(cell.links(sets.values.to_numpy(), first))
+        a, b = (cell.node[np.array([f[i] for f in found], np.int64)] for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    rest = rows.join(some, ["trie", "prefix", "node"], "left_semi").join(sh, "node").select("trie", "prefix", "s1", "s2", "node", "n", "root", "sh")
+    blocks = rest.groupBy("trie", "prefix").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return _cells(rest, materialised(blocks, "open-blocks"), depth, limit, threshold, "a long, b long", links).distinct()
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -382,11 +475,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     if not opened.isEmpty():
         stars = materialised(components(links, "a", "b"), "first-roots")
         known = open_.join(stars, "node", "left").select("node", "s1", "s2", "n", F.coalesce("root", "node").alias("root"))
-        pairs = materialised(_open_pairs(known, opened, depth, tries, limit, threshold), "open-pairs")
-        unread = materialised(_named(nodes, pairs).join(sh, "node", "left_anti"), "unread")
-        if not unread.isEmpty():
-            sh = sh.unionByName(materialised(_shingles(docs, unread, key, text).dropDuplicates(["node"]), "shingles"))
-        links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(pairs, sh, threshold))
+
+        def sets_of(wanted: DataFrame) -> DataFrame:
+            unread = materialised(wanted.join(sh, "node", "left_anti").join(nodes.select("node", "rep"), "node"), "unread")
+            more = materialised(_shingles(docs, unread, key, text).dropDuplicates(["node"]), "more-shingles")
+            return sh.unionByName(more)
+
+        found = _open_links(known, opened, depth, tries, limit, threshold, sets_of)
+        links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(materialised(found, "open-links"))
     roots = components(links, "a", "b")
     linked = nodes.join(roots, "node").select("node", "rep", "root").checkpoint()
     least = linked.groupBy("root").agg(F.min("rep").alias("class_id"))

@@ -411,7 +411,8 @@ def planted_pairs_met(spark, n, planted):
     forest = simhash._tries(nodes, 1).repartitionByRange("trie", "key").sortWithinPartitions("trie", "key")
     found = simhash._pairs(forest, 6, 34).cache()
     opened = found.where("open").select(F.col("a").cast("int").alias("trie"), F.col("b").alias("prefix"))
-    both = found.where("not open").select("a", "b").union(simhash._open_pairs(nodes, opened, 6, 1, 34, 0.8))
+    sets = spark.createDataFrame([(i, sorted(range(1000 * (i // 2 if i < 2 * planted else i + n), 1000 * (i // 2 if i < 2 * planted else i + n) + 100))) for i in range(n)], "node long, sh array<long>")
+    both = found.where("not open").select("a", "b").union(simhash._open_links(nodes, opened, 6, 1, 34, 0.8, lambda wanted: sets.join(wanted, "node")))
     return both.where(f"a % 2 = 0 and b = a + 1 and a < {2 * planted}").distinct().count() / planted
 
 
@@ -431,6 +432,40 @@ def test_a_bucket_over_many_ranges_is_whole(spark):
             spark.conf.set(k, v)
 
 
+def test_pairs_are_compared_in_their_first_trie():
+    rng = np.random.default_rng(5)
+    s1, s2 = (rng.integers(-(1 << 63), 1 << 63, 300) for _ in range(2))
+    s1[150:], s2[150:] = s1[:150] ^ (1 << rng.integers(0, 60, 150)), s2[:150] ^ (1 << rng.integers(0, 60, 150))
+    got = simhash.prefixes_of(s1, s2, 3, 7)
+    cells = [simhash.Cell(t, s1, s2, np.arange(300), np.full(300, 50), np.arange(300), np.zeros(300, np.int32), 7, 4, 0.8) for t in range(3)]
+    met = [{(min(p), max(p)) for x, y, _ in c.pairs() for p in zip(x.tolist(), y.tolist(), strict=True)} for c in cells]
+    every = {(i, i + 150) for i in range(150)}
+    assert met[0] == every and all((got[:t, a] != got[:t, b]).all() for t in range(3) for a, b in met[t])
+    assert met[2] == {(a, b) for a, b in every if (got[:2, a] != got[:2, b]).all()}
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    rng = random.Random(16)
+    base = prose(rng, 120, 3000).split(" ")
+    docs = []
+    for i in range(150):
+        w = list(base) if i < 90 else prose(rng, 100, 3000).split(" ")
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    got = []
+    for n in ("1", "23"):
+        for k, v in zip(held, (n, "false"), strict=True):
+            spark.conf.set(k, v)
+        try:
+            got.append(sorted((r.doc_id, r.class_id) for r in simhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+        finally:
+            for k, v in held.items():
+                spark.conf.set(k, v)
+    assert got[0] == got[1] == sorted(brute_classes(docs).items())
+
+
 def test_dense_buckets_are_refined():
     key = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 5000, dtype=np.uint64) << np.uint64(44))
     start, end = simhash.buckets(np.zeros(5000, np.int32), key, 2, 100)
