@@ -10,16 +10,15 @@ anchors at equal distances. The windows of one anchor occurrence form a stretch.
 
 1. Stretches are counted by anchor hash; what has a partner stays.
 2. Equal stretches: all but the earliest go entirely (a partial aggregate).
-3. Stretches that differ under one anchor: column-wise construction. The bucket's
-   stretches are aligned at their anchor, and a round inserts one symbol of every
-   stretch, from the last column to the first: the order of the suffixes at a
-   column is a stable sort of the next column's order by the new symbol, and
-   common prefixes grow by one within a symbol's run (the column's part of the
-   collection Burrows-Wheeler transform). Suffixes that share `length` bytes are
-   adjacent; all but the earliest of them are repeats. Rounds read and write
-   sequentially: the symbols come column by column from a scratch file of the
-   task, and only the newest order and prefixes are held. Stretches of many
-   anchors go through the rounds together, as only equal anchors can agree.
+3. Stretches that differ under one anchor: column-wise construction. Stretches are
+   aligned at their anchors, and a round inserts one symbol of every stretch, from
+   the last column to the first. A round's file below the shared folder holds the
+   column's suffixes in order, their part of the collection's Burrows-Wheeler
+   transform and their common prefixes; the next round reads it sequentially,
+   sorts stably by the transform's symbols and writes its own. Suffixes that share
+   `length` bytes are adjacent; all but the earliest of them are repeats.
+   Stretches of many anchors go through the rounds together, as only equal anchors
+   can agree.
 4. An anchor of over HOT different stretches is not brought into one task: its
    windows are hashed (with the anchor, 128 bits) and their earliest occurrences
    found by partial aggregation.
@@ -27,22 +26,23 @@ anchors at equal distances. The windows of one anchor occurrence form a stretch.
 Edge cases: a null text is empty; texts under `length` bytes keep everything.
 Rows with one doc_id are ordered by a hash of their text; of rows that repeat as
 a whole one counts as the first. A null doc_id comes last. Matches never cross
-documents.
+documents. An empty table gives no rows. Only key and text are read, so that other
+columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftgram.functions import kernels as K
-from siftgram.llm.shared import materialised, released
+from siftgram.llm.shared import materialised, released, scratch, with_types
 
 LENGTH = 100
 GRAM = 24
@@ -100,77 +100,120 @@ class Stretches:
             self.content = K.mix64(own + (end - begin).astype(np.uint64) * K.BASE + self.at.astype(np.uint64) * K.MULTIPLIER)
 
 
-def columns(texts: list[bytes], at: list[int], order: np.ndarray, length: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Column-wise construction over stretches that share an anchor.
+class Memory(dict):
+    """Files of rounds in memory, for small inputs."""
 
-    at[i]: the anchor's place in texts[i]; order[i]: its rank among occurrences,
-    smaller is earlier. Returns (i, column, earliest) groups as flat arrays
-    (stretch, start within it) of all windows that an earlier stretch has too.
+    def write(self, name: str, data: bytes) -> None:
+        self[name] = data
+
+    def read(self, name: str) -> bytes:
+        return self[name]
+
+    def drop(self, name: str) -> None:
+        del self[name]
+
+
+class Folder:
+    """Files of rounds below the shared folder; a task attempt has a folder of its own."""
+
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        self.store, base = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
+        self.base = f"{base}/rounds-{uuid.uuid4().hex}"
+        self.store.create_dir(self.base, recursive=True)
+
+    def write(self, name: str, data: bytes) -> None:
+        with self.store.open_output_stream(f"{self.base}/{name}", compression=None) as f:
+            f.write(data)
+
+    def read(self, name: str) -> bytes:
+        with self.store.open_input_stream(f"{self.base}/{name}", compression=None) as f:
+            return f.read()
+
+    def drop(self, name: str) -> None:
+        self.store.delete_file(f"{self.base}/{name}")
+
+    def close(self) -> None:
+        self.store.delete_dir(self.base)
+
+
+def columns(data: np.ndarray, offs: np.ndarray, at: np.ndarray, order: np.ndarray, length: int, files: Memory | Folder) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Column-wise construction over stretches that are aligned at their anchors.
+
+    Stretch i is data[offs[i]:offs[i + 1]], at[i] its anchor's place in it, order[i] its rank among occurrences: smaller is
+    earlier. Returns (stretches, starts within them) of all windows that an earlier stretch has at the same place.
+
+    A round's file holds, for the suffixes that begin at one column in their order: the stretch, the symbol before the
+    suffix (the column's part of the collection's Burrows-Wheeler transform), and the common prefix with the suffix
+    before. The next round reads it once from beginning to end. Its suffixes are those of the transform's symbols, in a
+    stable sort by them, and besides the last symbols of stretches that end there; prefixes grow by one within a symbol.
     """
-    m = len(texts)
-    at_ = np.array(at)
-    size = np.array([len(t) for t in texts])
-    left, right = int(at_.max()), int((size - at_).max())
+    size = np.diff(offs)
+    left, right = int(at.max()), int((size - at).max())
     width = left + right
-    shift = left - at_
-    found = []
-    with tempfile.TemporaryFile() as scratch:
-        matrix = np.zeros((m, width), dtype=np.uint8)
-        for i, t in enumerate(texts):
-            matrix[i, shift[i] : shift[i] + size[i]] = np.frombuffer(t, np.uint8)
-        for c in range(width - 1, -1, -1):  # in the order of the rounds
-            scratch.write(np.ascontiguousarray(matrix[:, c]).tobytes())
-        del matrix
-        scratch.seek(0)
-        rank = np.zeros(0, dtype=np.int64)  # stretches whose suffix at this column is not empty, in order
-        lcp = np.zeros(0, dtype=np.int64)  # with the one before
-        has_end = shift + size
-        for c in range(width - 1, -1, -1):
-            symbol = np.frombuffer(scratch.read(m), np.uint8)
-            fresh = np.flatnonzero(has_end - 1 == c)  # suffixes of one symbol sort before longer ones
-            old = rank[shift[rank] <= c]
-            if len(old) < len(rank):  # stretches that began at the column to the right are done
-                keep = shift[rank] <= c
-                group = np.cumsum(keep) - 1
-                low = np.full(len(old), np.iinfo(np.int64).max)
+    shift = left - at  # the column where a stretch begins
+    last = shift + size - 1
+    ends = np.argsort(last, kind="stable")
+    bound = np.searchsorted(last[ends], np.arange(width + 1))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    before = lambda rows, c: np.where(shift[rows] < c, data[np.maximum(offs[rows] + c - 1 - shift[rows], 0)], 0).astype(np.uint8)
+    kind = np.dtype([("stretch", "<i4"), ("bwt", "u1"), ("lcp", "<i4")])
+    name = None
+    for c in range(width - 1, -1, -1):
+        fresh = ends[bound[c] : bound[c + 1]]  # suffixes of one symbol, which sort before longer ones
+        if name is None:
+            rank, symbol, lcp = np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        else:
+            held = np.frombuffer(files.read(name), kind)
+            files.drop(name)
+            rank, symbol, lcp = held["stretch"].astype(np.int64), held["bwt"], held["lcp"].astype(np.int64)
+            goes_on = shift[rank] <= c
+            if not goes_on.all():  # stretches that begin to the right are done
+                group = np.cumsum(goes_on) - 1
+                low = np.full(int(goes_on.sum()), np.iinfo(np.int64).max)
                 # the common prefix over removed suffixes is the least on the way
-                step = np.where(keep, group, group + 1)
-                inside = step < len(old)
+                step = np.where(goes_on, group, group + 1)
+                inside = step < len(low)
                 np.minimum.at(low, step[inside], lcp[inside])
-                lcp = low
+                rank, symbol, lcp = rank[goes_on], symbol[goes_on], low
                 if len(lcp):
                     lcp[0] = 0
-            rank = np.concatenate([fresh, old])
-            lcp = np.concatenate([np.zeros(len(fresh), np.int64), lcp])
-            if len(fresh) and len(lcp) > len(fresh):
-                lcp[len(fresh)] = 0
-            if not len(rank):
-                continue
-            s = symbol[rank]
-            by = np.argsort(s, kind="stable")
-            # new common prefix: one more than the least old one between two that stand together under one symbol
-            new = np.zeros(len(rank), np.int64)
-            same = np.flatnonzero(s[by][1:] == s[by][:-1]) + 1
-            if len(same):
-                near = by[same] == by[same - 1] + 1
-                new[same[near]] = lcp[by[same[near]]] + 1
-                rest = same[~near]
-                if len(rest):
-                    edges = np.empty(2 * len(rest), np.int64)
-                    edges[0::2], edges[1::2] = by[rest - 1] + 1, by[rest] + 1
-                    tail = np.append(lcp, 0)
-                    new[rest] = np.minimum.reduceat(tail, edges)[0::2] + 1
-            rank, lcp = rank[by], np.minimum(new, length)
-            if len(rank) > 1:
-                full = lcp >= length
-                if full.any():
-                    group = np.cumsum(~full)
-                    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-                    np.minimum.at(least, group, order[rank])
-                    several = np.bincount(group)[group] > 1
-                    later = several & (order[rank] > least[group])
-                    if later.any():
-                        found.append((rank[later], c - shift[rank[later]]))
+        rank = np.concatenate([fresh, rank])
+        s = np.concatenate([data[offs[fresh] + size[fresh] - 1], symbol])
+        lcp = np.concatenate([np.zeros(len(fresh), np.int64), lcp])
+        if len(fresh) and len(lcp) > len(fresh):
+            lcp[len(fresh)] = 0
+        if not len(rank):
+            name = None
+            continue
+        by = np.argsort(s, kind="stable")
+        # new common prefix: one more than the least old one between two that stand together under one symbol
+        new = np.zeros(len(rank), np.int64)
+        same = np.flatnonzero(s[by][1:] == s[by][:-1]) + 1
+        if len(same):
+            near = by[same] == by[same - 1] + 1
+            new[same[near]] = lcp[by[same[near]]] + 1
+            rest = same[~near]
+            if len(rest):
+                edges = np.empty(2 * len(rest), np.int64)
+                edges[0::2], edges[1::2] = by[rest - 1] + 1, by[rest] + 1
+                new[rest] = np.minimum.reduceat(np.append(lcp, 0), edges)[0::2] + 1
+        rank, lcp = rank[by], np.minimum(new, length)
+        if len(rank) > 1:
+            full = lcp >= length
+            if full.any():
+                group = np.cumsum(~full)
+                least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, group, order[rank])
+                later = (np.bincount(group)[group] > 1) & (order[rank] > least[group])
+                if later.any():
+                    found.append((rank[later], c - shift[rank[later]]))
+        if c:
+            name = f"column-{c}"
+            out = np.empty(len(rank), kind)
+            out["stretch"], out["bwt"], out["lcp"] = rank, before(rank, c), lcp
+            files.write(name, out.tobytes())
     return found
 
 
@@ -266,11 +309,13 @@ def _runs(row: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 
 def _by_columns(cut: DataFrame, kind: str, length: int) -> DataFrame:
+    place = scratch(cut.sparkSession, "suffix-rounds")
     lot = cut.repartition("hash").sortWithinPartitions("hash", F.col("k").isNull(), "k", "th", "begin").select("hash", "k", "th", "begin", "at", "body")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            found = columns(rows.column(5).to_pylist(), rows.column(4).to_pylist(), np.arange(rows.num_rows), length)
+            data, offs = K.buffers(rows.column(5))
+            found = columns(data, offs, rows.column(4).to_numpy().astype(np.int64), np.arange(rows.num_rows), length, files[0])
             if found:
                 r, b, e = _runs(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), length)
                 take, begin = pa.array(r), rows.column(3).to_numpy()[r]
@@ -278,10 +323,13 @@ def _by_columns(cut: DataFrame, kind: str, length: int) -> DataFrame:
                 yield from out.combine_chunks().to_batches()
 
         held: list[pa.RecordBatch] = []
+        files: list[Folder] = []
         size = 0
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
+            if not files:
+                files.append(Folder(place))
             if size >= 60_000:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 h = rows.column(0).to_numpy()
@@ -292,6 +340,8 @@ def _by_columns(cut: DataFrame, kind: str, length: int) -> DataFrame:
                     size = rows.num_rows - cut
         if size:
             yield from done(pa.Table.from_batches(held).combine_chunks())
+        if files:
+            files[0].close()
 
     return lot.mapInArrow(scan, f"k {kind}, th long, begin int, end int")
 
@@ -327,25 +377,22 @@ def _by_windows(cut: DataFrame, kind: str, length: int) -> DataFrame:
 def _finish(keyed: DataFrame, marks: DataFrame, kind: str, length: int) -> DataFrame:
     """Applies the spans to the texts. Of rows that repeat as a whole, all but one lose every byte."""
     twice = materialised(keyed.groupBy("k", "th").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    left = keyed.join(marks.select(F.col("k").alias("k2"), F.col("th").alias("th2"), "spans"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("k", "th", "t", "spans")
-    if twice.isEmpty():
-        left = left.withColumn("copy", F.lit(False))
-    else:
-        copies = twice.select(F.col("k").alias("k3"), F.col("th").alias("th3"), "n")
-        left = left.join(copies, F.col("k").eqNullSafe(F.col("k3")) & (F.col("th") == F.col("th3")), "left")
-        single = left.where("n is null").withColumn("copy", F.lit(False))
-        numbered = left.where("n is not null").withColumn("copy", F.row_number().over(Window.partitionBy("k", "th").orderBy("th")) > 1)
-        left = single.unionByName(numbered)
+    rows = keyed.select("k", "th", "t", F.lit(1).cast("long").alias("n"))
+    if not twice.isEmpty():
+        # rows that repeat as a whole are one row with a count: their texts are aggregated before they move
+        copies = twice.select(F.col("k").alias("k3"), F.col("th").alias("th3"))
+        same = F.col("k").eqNullSafe(F.col("k3")) & (F.col("th") == F.col("th3"))
+        again = keyed.join(copies, same, "left_semi").groupBy("k", "th").agg(F.first("t").alias("t"), F.count("*").alias("n"))
+        rows = rows.join(copies, same, "left_anti").unionByName(again.select("k", "th", "t", "n"))
+    left = rows.join(marks.select(F.col("k").alias("k2"), F.col("th").alias("th2"), "spans"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("th2")), "left").select("k", "t", "spans", "n")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, texts, spans, copy = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             size, removed, runs, sha, out = [], [], [], [], []
-            for t, s, c in zip(texts, spans, copy, strict=True):
+            for t, s in zip(texts, spans, strict=True):
                 data = t.encode()
                 marked = sorted((x["begin"], x["end"]) for x in s or ())
-                if c and len(data) >= length:
-                    marked = [(0, len(data))]
                 merged: list[list[int]] = []
                 for b, e in marked:
                     if merged and b <= merged[-1][1]:
@@ -363,8 +410,15 @@ def _finish(keyed: DataFrame, marks: DataFrame, kind: str, length: int) -> DataF
                 sha.append(digest.hexdigest())
                 out.append([{"begin": b, "end": e} for b, e in merged])
             yield pa.RecordBatch.from_arrays(
-                [k, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
-                names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                [batch.column(0), batch.column(3), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
+                names=["k", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
             )
 
-    return left.select("k", "th", "t", "spans", "copy").mapInArrow(scan, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:int,end:int>>")
+    made = left.mapInArrow(scan, with_types(left, ["k", "n"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:int,end:int>>"))
+    # the further rows of a group lose every byte that a window covers, which is all of them
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
+    made = made.select("k", copy, *[c for c in made.columns if c not in ("k", "n")])
+    gone = (F.col("copy") > 1) & (F.col("n_bytes") >= length)
+    whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_bytes").cast("int").alias("end")))
+    put = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": whole}
+    return made.select("k", "n_bytes", *[F.when(gone, v).otherwise(F.col(c)).alias(c) for c, v in put.items()])

@@ -147,7 +147,7 @@ def test_suffix_dedup_is_exact(spark, hot, monkeypatch):
         p = rng.choice(shared)
         a, b = sorted((rng.randrange(len(p)), rng.randrange(len(p))))
         docs.append((i, host + p[a:b] + prose(rng, 5) + (p if rng.random() < 0.3 else "")))
-    docs += [(70, docs[20][1]), (71, docs[20][1])]
+    docs += [(70, docs[20][1]), (71, docs[20][1]), (72, "a" * 99), (73, "ab" * 55)]
     got = suffixes.repeats(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute_repeats(docs, 100)
 
@@ -156,7 +156,10 @@ def test_columns_find_all_equal_windows():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(6, 14))).encode() for _ in range(40)]
     at = [rng.randrange(0, len(t) - 4) for t in texts]
-    got = {(int(i), int(c)) for who, where in suffixes.columns(texts, at, np.arange(40), 5) for i, c in zip(who, where, strict=True)}
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    files = suffixes.Memory()
+    got = {(int(i), int(c)) for who, where in suffixes.columns(data, offs, np.array(at), np.arange(40), 5, files) for i, c in zip(who, where, strict=True)}
+    assert not files  # every round's file is read once and goes
     first, want = {}, set()
     for i, t in enumerate(texts):
         for c in range(len(t) - 4):
