@@ -8,7 +8,8 @@ reads the ledger and never the texts again.
 Edge cases: a null or empty text has no words, all counts are 0, it fails the
 `few_words` rule. Rows that repeat are judged each by itself. Very long texts
 (over 2**20 words) use a sort of (window, position) structs in place of packed
-longs; the result is the same.
+longs; the result is the same. An empty table gives no rows. Own columns of any
+name stand in a struct, and the ledger reads key and text alone: none can clash.
 """
 
 from __future__ import annotations

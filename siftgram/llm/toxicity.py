@@ -16,7 +16,8 @@ scoring reads whole texts of all documents.
 Edge cases: null and empty texts have no evidence and get the curve's base score.
 Repeated label rows count once, the higher label wins; labels without a document
 are ignored. Without labels of both kinds every score is 0. Repeated documents
-are scored each by itself.
+are scored each by itself. An empty table gives no rows. Only key and text are
+read, so that other columns can't clash.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ row with the smallest id is the response, the others are revisits that name it.
 Edge cases: a null payload is an empty one. Payloads under `min_bytes` are all
 responses. Rows that share id and payload are equal; where the shared id is the
 smallest, all of them are responses. A null id sorts after all others and is
-written as an id of its own kind. An empty table gives an empty manifest.
+written as an id of its own kind. An empty table gives an empty manifest. Only
+id, url and payload are read, so that other columns can't clash.
 """
 
 from __future__ import annotations
