@@ -15,8 +15,11 @@ however many they are, and takes nothing from the documents beside it. A
 template recurs when this count reaches `short_docs`, or `long_docs` from
 `long_words` tokens on, as long lines hardly recur by chance.
 
-All counts are partial aggregates over thin hash rows; distinct lines, not
-lines, are parsed below the leaves; a hot line or leaf never meets in one task.
+All counts are partial aggregates over thin hash rows, and sketches are looked up
+only for documents of templates that can recur. Distinct lines, not lines, are
+parsed below the leaves: those of a leaf meet in one task, as do the documents of
+a template, up to a bounded size. Larger leaves and templates are exploded to
+tokens and orders and go through partial aggregates and joins, to the same result.
 
 Edge cases: null and empty texts have no lines to drop and stay as they are.
 Lines of under `min_tokens` tokens are never dropped. Repeated rows share their
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgram.functions import kernels as K
@@ -48,6 +51,9 @@ ORDERS = 16
 AGREE = 9
 #: Hashes that may be broadcast (8 bytes each); above, a join takes their place.
 BROADCAST_ROWS = 1_000_000
+#: Tokens of the distinct lines of a leaf, and documents of a template, that one task takes together.
+LEAF_TOKENS = 1 << 20
+TEMPLATE_DOCS = 1 << 15
 _NUMBER = np.uint64(0x5851F42D4C957F2D)
 _TURNS = np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -124,16 +130,52 @@ def _thin(texts: DataFrame, min_tokens: int) -> DataFrame:
     return texts.mapInArrow(scan, ", ".join(f"{n} array<long>" for n in names))
 
 
-def _tokens(texts: DataFrame, min_tokens: int) -> DataFrame:
-    """(leaf, line, tokens); a line once for each piece that has it."""
+class Members:
+    """A set of hashes, sent to tasks: exact up to BROADCAST_ROWS, beyond that a bitmap of 16 bits or more a hash that lets a few others in."""
+
+    SLICE = 1 << 23
+    MOST_BITS = 30
+
+    def __init__(self, df: DataFrame):
+        """df: one column of distinct long values."""
+        (name,) = df.columns
+        n = df.count()
+        read = lambda x: x.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+        if n <= BROADCAST_ROWS:
+            self.bits, values = 0, np.sort(read(df))
+        else:
+            self.bits = min(self.MOST_BITS, max(10, (16 * n).bit_length()))
+            values = np.zeros(1 << (self.bits - 3), np.uint8)
+            slices = -(-n // self.SLICE)
+            for i in range(slices):
+                at = np.unique(read(df.where(F.pmod(F.col(name), F.lit(slices)) == i)) >> np.uint64(64 - self.bits)).astype(np.int64)
+                if len(at):
+                    starts = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+                    values[at[starts] >> 3] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), starts)
+        self.shared = df.sparkSession.sparkContext.broadcast(values)
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        values = self.shared.value
+        if self.bits:
+            at = (x >> np.uint64(64 - self.bits)).astype(np.int64)
+            return (values[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        if not len(values):
+            return np.zeros(len(x), bool)
+        return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
+def _tokens(texts: DataFrame, min_tokens: int, leaves: Members) -> DataFrame:
+    """(leaf, line, tokens) below leaves; a line once for each piece that has it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = K.Powers()
         for batch in batches:
             for _, _, data, offs in K.pieces(batch.column(0)):
                 lines = Lines(data, offs, pows)
-                _, one = np.unique(lines.hash, return_index=True)
-                one = one[lines.count[one] >= min_tokens]
+                use = np.flatnonzero(lines.count >= min_tokens)
+                use = use[leaves.has(lines.leaf[use])]
+                _, one = np.unique(lines.hash[use], return_index=True)
+                one = use[one]
                 n = lines.count[one]
                 take = np.repeat(lines.first[one], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                 yield pa.RecordBatch.from_arrays([_long(lines.leaf[one]), _long(lines.hash[one]), _lists(lines.token[take], n)], names=["leaf", "line", "tokens"])
@@ -145,6 +187,118 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in the order of their first column, cut anew so that equal values of it stand in one."""
+    whole = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if left and (cut or left[-1].column(0)[-1].as_py() != key[0]):
+            yield whole([*left, batch.slice(0, cut)])
+            left = []
+        elif cut:
+            yield batch.slice(0, cut)
+        left.append(batch.slice(cut))
+    if left:
+        yield whole(left)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of these columns differs from the row before; the first row does."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _parsed(tokens: DataFrame, counts: DataFrame, short_docs: int, long_docs: int, long_words: int, min_tokens: int, constant_share: float) -> DataFrame:
+    """(line, template) of tokens (leaf, line, tokens) with their counts (leaf, line, n); the lines of a leaf meet in one task."""
+
+    def shapes(leaf: np.ndarray, line: np.ndarray, n: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
+        token, size = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(token)) - first[row]
+        place = (np.cumsum(np.diff(leaf, prepend=leaf[0]) != 0) * size.max())[row] + at
+        order = np.lexsort((token, place))
+        group = _changes(place[order], token[order])
+        s = np.add.reduceat(n[row][order], group)
+        fixed = np.zeros(len(token), bool)
+        fixed[order] = np.repeat(s, np.diff(group, append=len(token))) >= np.where(size >= long_words, long_docs, short_docs)[row][order]
+        with np.errstate(over="ignore"):
+            x = np.bitwise_xor.reduceat(np.where(fixed, K.mix64(K.mix64(token) + at.astype(np.uint64) * K.MULTIPLIER), np.uint64(0)), first)
+            template = K.mix64(leaf.view(np.uint64) * K.MULTIPLIER + K.mix64(x))
+        ok = np.add.reduceat(fixed.astype(np.int64), first) >= np.maximum(min_tokens, np.ceil(constant_share * size))
+        return pa.RecordBatch.from_arrays([pa.array(line[ok]), _long(template[ok])], names=["line", "template"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            leaf, line, n = (run.column(i).to_numpy() for i in range(3))
+            same = _changes(leaf, line)
+            total = np.add.reduceat(n, same)
+            have = np.flatnonzero(run.column(3).is_valid().to_numpy(zero_copy_only=False))
+            # a line of several pieces is taken once; one without a count came in by the bitmap
+            of, one = np.unique(np.searchsorted(same, have, side="right") - 1, return_index=True)
+            own, n = have[one][total[of] > 0], total[of][total[of] > 0]
+            if not len(own):
+                continue
+            lists, starts = run.column(3).take(pa.array(own)), _changes(leaf[own])
+            before = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])
+            cuts = [*starts[_changes(before[starts] // LEAF_TOKENS)].tolist(), len(own)]  # whole leaves, of about LEAF_TOKENS tokens
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                yield shapes(leaf[own[i:j]], line[own[i:j]], n[i:j], lists.slice(i, j - i))
+
+    rows = tokens.select("leaf", "line", F.lit(0).cast("long").alias("n"), "tokens").unionAll(counts.select("leaf", "line", "n", F.lit(None).cast("array<long>").alias("tokens")))
+    return rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(scan, "line long, template long")
+
+
+def _parsed_wide(tokens: DataFrame, counts: DataFrame, need: Column, min_tokens: int, constant_share: float) -> DataFrame:
+    """_parsed for leaves that are too large for one task: by token, through partial aggregates and a join."""
+    distinct = tokens.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")).join(counts.select("leaf", "line", "words", "n"), ["leaf", "line"])
+    distinct = materialised(distinct, "distinct")
+    each = distinct.select("leaf", "line", "n", need.alias("need"), F.posexplode("tokens").alias("at", "token"))
+    constant = each.groupBy("leaf", "at", "token").agg(F.sum("n").alias("s"), F.first("need").alias("need")).where("s >= need").select("leaf", "at", "token", F.lit(1).alias("fixed"))
+    parsed = each.join(constant, ["leaf", "at", "token"], "left")
+    shape = parsed.groupBy("leaf", "line").agg(
+        F.bit_xor(F.when(F.col("fixed") == 1, F.xxhash64("at", "token"))).alias("x"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n_tokens"),
+    )
+    shape = shape.where(F.col("n_fixed") >= F.greatest(F.lit(min_tokens), F.ceil(constant_share * F.col("n_tokens"))))
+    return shape.select("line", F.xxhash64("leaf", "x").alias("template"))
+
+
+def _excess(spread: DataFrame) -> DataFrame:
+    """(template, less): by how much the documents (template, d, sketch) of a template count less than one each; they meet in one task."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            template = run.column(0).to_numpy()
+            first = _changes(template)
+            of = np.repeat(np.arange(len(first)), np.diff(first, append=len(template)))
+            sketch = run.column(1).flatten().to_numpy().reshape(-1, ORDERS)
+            f = np.zeros(sketch.shape, np.int64)
+            for r in range(ORDERS):
+                order = np.lexsort((sketch[:, r], of))
+                group = _changes(of[order], sketch[order, r])
+                sizes = np.diff(group, append=len(of))
+                f[order, r] = np.repeat(sizes, sizes)
+            f.sort(axis=1)
+            less = np.add.reduceat(1 - 1 / f[:, ORDERS - AGREE], first)
+            yield pa.RecordBatch.from_arrays([pa.array(template[first]), pa.array(less)], names=["template", "less"])
+
+    return spread.select("template", "sketch").repartition("template").sortWithinPartitions("template").mapInArrow(scan, "template long, less double")
+
+
+def _excess_wide(spread: DataFrame) -> DataFrame:
+    """_excess for templates of too many documents for one task: by order, through partial aggregates and a join."""
+    spread = materialised(spread.select("template", "d", F.posexplode("sketch").alias("r", "c")), "sketches")
+    alike = materialised(spread.groupBy("template", "r", "c").agg(F.count("*").alias("f")).where("f > 1"), "alike")
+    # what no other document has counts 1 and needs no join; a document's list has ORDERS entries at most
+    shared = spread.join(alike, ["template", "r", "c"]).groupBy("template", "d").agg(F.sort_array(F.collect_list("f"), asc=False).alias("f"))
+    return shared.select("template", (1 - 1 / F.coalesce(F.get("f", F.lit(AGREE - 1)), F.lit(1))).alias("less")).groupBy("template").agg(F.sum("less").alias("less"))
+
+
 def templates(
     docs: DataFrame, text: str = "text", short_docs: int = SHORT_DOCS, long_docs: int = LONG_DOCS, long_words: int = LONG_WORDS,
     min_tokens: int = MIN_TOKENS, constant_share: float = CONSTANT_SHARE,
@@ -152,37 +306,37 @@ def templates(
     """(line, template, n_docs, n_contexts, recurs): line hashes below leaves that can recur, with their template."""
     texts = docs.select(F.col(text).alias("t"))
     thin = materialised(_thin(texts, min_tokens).withColumn("d", F.xxhash64("sketch")), "lines")
-    each = thin.select("d", "sketch", F.explode(F.arrays_zip("leaf", "line", "n")).alias("l"))
-    need = F.when(F.col("n") >= long_words, long_docs).otherwise(short_docs)
-    leaves = each.groupBy("l.leaf").agg(F.count("*").alias("c"), F.first("l.n").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    each = thin.select("d", F.explode(F.arrays_zip("leaf", "line", "n")).alias("l"))
+    need = F.when(F.col("words") >= long_words, long_docs).otherwise(short_docs)
+    leaves = each.groupBy("l.leaf").agg(F.count("*").alias("c"), F.first("l.n").alias("words"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     # lines of one document and its copies are no recurrence, whatever else stands below their leaf
-    leaves = leaves.where((F.col("c") >= need) & (F.col("lo") != F.col("hi"))).select("leaf", need.alias("need"))
-    leaves = materialised(leaves, "leaves")
-    near = each.select("d", "sketch", "l.leaf", "l.line").join(_small(leaves), "leaf")
-    held = near.groupBy("line", "d").agg(F.first("leaf").alias("leaf"), F.first("need").alias("need"), F.first("sketch").alias("sketch"))
-    held = materialised(held, "held")
-    counts = held.groupBy("line").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    tokens = _tokens(texts, min_tokens).join(_small(leaves.select("leaf")), "leaf", "left_semi").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    distinct = materialised(tokens.join(counts, "line"), "distinct")
-    each = distinct.select("leaf", "line", "n", "need", F.posexplode("tokens").alias("at", "token"))
-    constant = each.groupBy("leaf", "at", "token").agg(F.sum("n").alias("s"), F.first("need").alias("need")).where("s >= need").select("leaf", "at", "token", F.lit(1).alias("fixed"))
-    parsed = each.join(constant, ["leaf", "at", "token"], "left")
-    shape = parsed.groupBy("leaf", "line").agg(
-        F.bit_xor(F.when(F.col("fixed") == 1, F.xxhash64("at", "token"))).alias("x"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n_tokens"),
-    )
-    shape = shape.where(F.col("n_fixed") >= F.greatest(F.lit(min_tokens), F.ceil(constant_share * F.col("n_tokens"))))
-    shape = materialised(shape.select("line", F.xxhash64("leaf", "x").alias("template")), "shapes")
+    leaves = materialised(leaves.where((F.col("c") >= need) & (F.col("lo") != F.col("hi"))).select("leaf", "words"), "leaves")
+    near = each.select("d", "l.leaf", "l.line").join(_small(leaves), "leaf")
+    held = materialised(near.groupBy("line", "d").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words")), "held")
+    counts = held.groupBy("line").agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"), F.first("words").alias("words"))
+    counts = materialised(counts, "counts")
+    below = counts.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.first("words").alias("words"), F.first("line").alias("line"))
+    below = materialised(below.where(F.col("s") >= need).select("leaf", "line", "k", (F.col("k") * F.col("words") > LEAF_TOKENS).alias("wide")), "below")
+    # the only line of a leaf is its own template, all tokens constant
+    shape = below.where((F.col("k") == 1) & F.lit(constant_share <= 1)).select("line", F.xxhash64("leaf", "line").alias("template"))
+    several = below.where("k > 1 and not wide").select("leaf")
+    shape = shape.unionAll(_parsed(_tokens(texts, min_tokens, Members(several)), counts.join(_small(several), "leaf", "left_semi"), short_docs, long_docs, long_words, min_tokens, constant_share))
+    wide = below.where("k > 1 and wide").select("leaf")
+    if not wide.isEmpty():
+        own = _tokens(texts, min_tokens, Members(wide)).join(_small(wide), "leaf", "left_semi")
+        shape = shape.unionAll(_parsed_wide(own, counts.join(_small(wide), "leaf", "left_semi"), need, min_tokens, constant_share))
+    shape = materialised(shape, "shapes")
     # a document, however often it stands or repeats a line, is one row
-    places = held.join(shape, "line").groupBy("template", "d").agg(F.first("need").alias("need"), F.first("sketch").alias("sketch"))
+    places = held.join(shape, "line").groupBy("template", "d").agg(F.first("words").alias("words"))
     places = materialised(places, "places")
-    seen = places.groupBy("template").agg(F.count("*").alias("n_docs"), F.first("need").alias("need"))
+    seen = places.groupBy("template").agg(F.count("*").alias("n_docs"), F.first(need).alias("need"))
     can = materialised(seen.where("n_docs >= need"), "can")
-    spread = places.select("template", "d", "sketch").join(_small(can.select("template")), "template").select("template", "d", F.posexplode("sketch").alias("r", "c"))
-    spread = materialised(spread, "sketches")
-    alike = materialised(spread.groupBy("template", "r", "c").agg(F.count("*").alias("f")).where("f > 1"), "alike")
-    # what no other document has counts 1 and needs no join; a document's list has ORDERS entries at most
-    shared = spread.join(alike, ["template", "r", "c"]).groupBy("template", "d").agg(F.sort_array(F.collect_list("f"), asc=False).alias("f"))
-    excess = shared.select("template", (1 - 1 / F.coalesce(F.get("f", F.lit(AGREE - 1)), F.lit(1))).alias("less")).groupBy("template").agg(F.sum("less").alias("less"))
+    able = places.select("template", "d").join(_small(can.select("template", "n_docs")), "template")
+    sketches = thin.select("d", "sketch").groupBy("d").agg(F.first("sketch").alias("sketch"))
+    spread = able.join(sketches, "d")
+    excess = _excess(spread.where(F.col("n_docs") <= TEMPLATE_DOCS))
+    if not can.where(F.col("n_docs") > TEMPLATE_DOCS).isEmpty():
+        excess = excess.unionAll(_excess_wide(spread.where(F.col("n_docs") > TEMPLATE_DOCS)))
     counted = can.join(excess, "template", "left").withColumn("n_contexts", F.round(F.col("n_docs") - F.coalesce("less", F.lit(0.0)), 6))
     return shape.join(counted.select("template", "n_docs", "n_contexts", (F.col("n_contexts") >= F.col("need")).alias("recurs")), "template")
 
