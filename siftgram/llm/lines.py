@@ -49,7 +49,7 @@ CONSTANT_SHARE = 0.7
 SHINGLE = 5
 ORDERS = 16
 AGREE = 9
-#: Hashes that may be broadcast (8 bytes each); above, a join takes their place.
+#: Hashes that may be broadcast (8 bytes each); above, a join takes their place. For the lines to drop, 8 times as many: that join moves the texts.
 BROADCAST_ROWS = 1_000_000
 #: Tokens of the distinct lines of a leaf, and documents of a template, that one task takes together.
 LEAF_TOKENS = 1 << 20
@@ -346,7 +346,7 @@ def dropped(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     spark = docs.sparkSession
     gone = materialised(templates(docs, text, **options).where("recurs").select("line").distinct(), "recurring")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
-    few = gone.count() <= BROADCAST_ROWS
+    few = gone.count() <= 8 * BROADCAST_ROWS
     if few:
         known = np.sort(gone.toArrow()["line"].to_numpy()).astype(np.int64).view(np.uint64)
         shared = spark.sparkContext.broadcast(np.sort(known))
