@@ -53,8 +53,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Powers:
     """powers(), kept and grown as pieces need."""
 
-    def __init__(self):
-        self.a, self.b = powers(PIECE_BYTES + 1)
+    def __init__(self, most: int = PIECE_BYTES):
+        self.a, self.b = powers(most + 1)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.a):

@@ -24,7 +24,7 @@ from siftgram.functions import kernels as K
 from siftgram.functions.sharing import share, with_types
 from siftgram.functions.text import bounded, common_substring, light, numbers
 from siftgram.operators.index import Index
-from siftgram.operators.matching import KERNEL_BYTES, small
+from siftgram.operators.matching import KERNEL_BYTES, LOOK_BYTES, small
 
 WINDOW_CHARS = 1_000
 BLOCK_WORDS = 3
@@ -114,7 +114,7 @@ class Questions:
         return out
 
     def ready(self) -> Questions:
-        self.pows, self.sieves = K.Powers(), {}
+        self.pows, self.sieves = K.Powers(LOOK_BYTES), {}
         for n, (known, _) in self.blocks.items():
             self.sieves[n] = np.zeros(1 << max(16, min(26, (len(known) * 16).bit_length())), bool)
             self.sieves[n][known & np.uint64(len(self.sieves[n]) - 1)] = True
@@ -167,9 +167,10 @@ def exact_hits(parts: DataFrame, index: Index, cfg: ScanConfig, key: list[str],
     def scan(batches):
         own = shared()
         for batch in batches:
-            found = own.found(batch.column(1))
-            some = pa.array(np.diff(found.offsets.to_numpy()) > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["row", "text", "found"]).filter(some)
+            for i, j, _, _ in K.pieces(batch.column(1), LOOK_BYTES):
+                found = own.found(batch.column(1).slice(i, j - i))
+                some = pa.array(np.diff(found.offsets.to_numpy()) > 0)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, found], names=["row", "text", "found"]).filter(some)
 
     got = rows.mapInArrow(scan, with_types(rows, ["row", "text"], "found array<int>"))
     return with_texts(got.select("row.*", "text", F.explode("found").alias("item_idx")), index, cfg, key, with_nfkc)

@@ -33,6 +33,8 @@ from siftgram.operators.index import Index, hash_grams
 #: Bytes of an index that the kernel plan broadcasts, at POSTING_BYTES for each posting or stop-gram.
 KERNEL_BYTES = 256 << 20
 POSTING_BYTES = 32
+#: Bytes of text that a kernel looks at together: its arrays take about a hundred times that.
+LOOK_BYTES = 256 << 10
 #: Posting rows that a join may broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -98,7 +100,7 @@ class Tokens:
         segment = np.zeros(len(s), np.int64)
         self.separators = np.zeros(len(offs) - 1, np.int64)
         marker = FIELD_SEPARATOR.encode()
-        body = data.tobytes() if (data == marker[0]).any() and (data == 124).any() else b""
+        body = data.tobytes().lower() if (data == marker[0]).any() and (data == 124).any() else b""
         at = body.find(marker)
         while at >= 0:
             owner = int(np.searchsorted(offs, at, side="right")) - 1
@@ -193,24 +195,37 @@ def normalized(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.large_string())
 
 
-class Matcher:
-    """Scores pieces of texts; one per task."""
+def looked_at(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """K.pieces() of LOOK_BYTES, normalized one at a time, so that a batch is never in Python as a whole."""
+    for i, j, _, _ in K.pieces(column, LOOK_BYTES):
+        data, offs = K.buffers(normalized(column.slice(i, j - i)))
+        yield i, j, data, offs
 
-    def __init__(self, known: Known):
-        self.known, self.pows = known, K.Powers()
-        norm = known.norm
+
+class Reader:
+    """Tokens of pieces, and the windows that patterns reject; one per task."""
+
+    def __init__(self, norm: Normalization):
+        self.pows = K.Powers(LOOK_BYTES)
         self.stop = np.sort(_hash_words(sorted(norm.stop_words), self.pows))
         self.triggers = np.sort(_hash_words(sorted(REJECT_TRIGGERS), self.pows))
         self.prefix = _hash_words([REJECT_TRIGGER_PREFIX], self.pows)[0]
         self.reject = re.compile("|".join(f"(?:{p})" for p in norm.reject), re.IGNORECASE | re.ASCII)
-        self.sieve = known.sieve()
 
     def tokens(self, data: np.ndarray, offs: np.ndarray) -> Tokens:
         return Tokens(data, offs, self.pows, self.stop, self.triggers, self.prefix)
 
-    def _allowed(self, data: np.ndarray, t: Tokens, ok: np.ndarray, n: int) -> np.ndarray:
-        """ok without windows that a pattern rejects. Windows in a row are looked at together first: patterns
-        that don't match their common text match none of them."""
+    @staticmethod
+    def whole(t: Tokens, n: int) -> np.ndarray:
+        """Whether the n tokens from each place are of one text and field; the last n-1 places are dropped."""
+        m = max(0, len(t.hash) - n + 1)
+        return (t.doc[:m] == t.doc[n - 1 : n - 1 + m]) & (t.segment[:m] == t.segment[n - 1 : n - 1 + m]) if m else np.zeros(0, bool)
+
+    def rejected(self, data: np.ndarray, t: Tokens, ok: np.ndarray, n: int) -> Iterator[tuple[int, str]]:
+        """(place, text) of the windows in ok that a pattern rejects. Windows in a row are looked at together first:
+        patterns that don't match their common text match none of them."""
+        if not t.trigger.any():
+            return
         seen = np.concatenate([[0], np.cumsum(t.trigger)])
         can = np.flatnonzero(ok & (seen[n : n + len(ok)] > seen[: len(ok)]))
         for row in np.split(can, np.flatnonzero(np.diff(can) > 1) + 1) if len(can) else []:
@@ -218,18 +233,30 @@ class Matcher:
             words = [K.word_bytes(data, x, y) for x, y in zip(a, b, strict=True)]
             if self.reject.search(b" ".join(words).decode()):
                 for i in row.tolist():
-                    if self.reject.search(b" ".join(words[i - row[0] : i - row[0] + n]).decode()):
-                        ok[i] = False
+                    text = b" ".join(words[i - row[0] : i - row[0] + n]).decode()
+                    if self.reject.search(text):
+                        yield i, text
+
+    def allowed(self, data: np.ndarray, t: Tokens, n: int) -> np.ndarray:
+        """Whether the window at each place counts."""
+        ok = self.whole(t, n)
+        for i in [i for i, _ in self.rejected(data, t, ok, n)]:
+            ok[i] = False
         return ok
 
+
+class Matcher(Reader):
+    """Scores pieces of texts; one per task."""
+
+    def __init__(self, known: Known):
+        super().__init__(known.norm)
+        self.known, self.sieve = known, known.sieve()
+
     def score(self, data: np.ndarray, offs: np.ndarray, t: Tokens | None = None) -> dict[str, np.ndarray]:
         n, docs = self.known.n, len(offs) - 1
         t = t or self.tokens(data, offs)
         g = K.grams(t.hash, n)
-        m = len(g)
-        ok = (t.doc[:m] == t.doc[n - 1 : n - 1 + m]) & (t.segment[:m] == t.segment[n - 1 : n - 1 + m]) if m else np.zeros(0, bool)
-        if m and t.trigger.any():
-            ok = self._allowed(data, t, ok, n)
+        ok = self.allowed(data, t, n)
         short = np.diff(offs) < 2 * n
         pos = np.flatnonzero(ok)
         pos = pos[~short[t.doc[pos]]]
@@ -344,8 +371,7 @@ def _by_kernel(parts: DataFrame, index: Index, stopgrams: DataFrame | None, keep
         spaced = seeds() if seeds else None
         exact = questions() if questions else None
         for batch in batches:
-            column = normalized(batch.column(1))
-            for i, j, data, offs in K.pieces(column):
+            for i, j, data, offs in looked_at(batch.column(1)):
                 t = matcher.tokens(data, offs)
                 r = matcher.score(data, offs, t)
                 known, docs, doc, gram = matcher.known, j - i, r["doc"], r["gram"]

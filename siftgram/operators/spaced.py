@@ -20,7 +20,7 @@ from siftgram.functions import kernels as K
 from siftgram.functions.sharing import share, with_types
 from siftgram.functions.text import tokens
 from siftgram.operators.index import Index, item_text
-from siftgram.operators.matching import Matcher, Tokens, known_of, lists, normalized, repeated, small
+from siftgram.operators.matching import Matcher, Tokens, known_of, lists, looked_at, normalized, repeated, small
 
 
 def _pattern(span: int, *gaps: int) -> str:
@@ -231,8 +231,7 @@ def loci_kernel(parts: DataFrame, index: Index, cfg: ScanConfig, key: list[str],
     def scan(batches):
         matcher, own = Matcher(shared()), seeds_()
         for batch in batches:
-            column = normalized(batch.column(1))
-            for i, j, data, offs in K.pieces(column):
+            for i, j, data, offs in looked_at(batch.column(1)):
                 stream = Stream(matcher.tokens(data, offs))
                 if verify:
                     doc, item, diag = own.verified(stream)

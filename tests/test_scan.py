@@ -83,6 +83,14 @@ def test_stop_grams_and_counts(spark):
     assert {x.gram: x.df for x in stopgrams.background_stopgrams(docs, 1, 0.75).collect()} == {"alpha": 3, "beta": 3}
 
 
+def test_kernels_look_at_small_pieces(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(matching, "normalized", lambda c: seen.append(len(c)) or c)
+    column = matching.pa.array(["x" * 100_000] * 20)
+    at = [(i, j) for i, j, _, _ in matching.looked_at(column)]
+    assert max(seen) * 100_000 <= matching.LOOK_BYTES and at[0][0] == 0 and at[-1][1] == 20 and all(a[1] == b[0] for a, b in zip(at, at[1:], strict=False))
+
+
 def test_item_stop_grams(spark):
     items = [[f"read passage below carefully word{i} thing{i} other{i}"] for i in range(10)]
     drop = ItemStopGrams(0.5, 5)
