@@ -312,7 +312,16 @@ def stats(index: Index, min_hits: int = 3) -> DataFrame:
 def reject_stats(items: DataFrame, n: int, norm: Normalization | None = None) -> DataFrame:
     """(pattern_idx, n): candidate windows by the pattern that rejects them; null: retained."""
     norm = norm or Normalization()
-    return _field_grams(items, n, norm).groupBy(reject_pattern(F.col("gram"), norm).alias("pattern_idx")).agg(F.count("*").alias("n"))
+    if not norm.is_default:
+        return _field_grams(items, n, norm).groupBy(reject_pattern(F.col("gram"), norm).alias("pattern_idx")).agg(F.count("*").alias("n"))
+    from siftgram.operators.matching import reject_counts
+
+    texts = items.select(F.explode("fields").alias("value")).select(F.array_join("value", " ").alias("text"))
+    got = reject_counts(texts, n, norm)
+    # a generator's input is computed for every row: texts that the kernel handed on are exploded, counts are one row each
+    handed = F.transform(windows(tokens(F.col("text"), replace(norm, nfkc=False)), n)["gram"], lambda g: F.struct(reject_pattern(g, norm).alias("pattern_idx"), F.lit(1).cast("long").alias("n")))
+    rows = F.when(F.col("text").isNotNull(), handed).otherwise(F.array(F.struct("pattern_idx", "n")))
+    return got.select(F.explode(rows).alias("r")).groupBy("r.pattern_idx").agg(F.sum("r.n").alias("n"))
 
 
 def top_rejected(items: DataFrame, n: int, norm: Normalization | None = None, k: int = 10) -> DataFrame:

@@ -397,6 +397,31 @@ def _by_kernel(parts: DataFrame, index: Index, stopgrams: DataFrame | None, keep
     return rows.mapInArrow(scan, with_types(rows, ["row"], more)).select("row.*", *names)
 
 
+def reject_counts(texts: DataFrame, n: int, norm: Normalization) -> DataFrame:
+    """(pattern_idx, n, text): windows of texts (text) by the first pattern that rejects them, one row a pattern and task,
+    by the kernel; texts with a field separator, which is a token of windows here, are handed on in text, normalized."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, patterns = Reader(norm), [re.compile(p, re.IGNORECASE | re.ASCII) for p in norm.reject]
+        counts, kinds = np.zeros(len(patterns) + 1, np.int64), pa.schema([("pattern_idx", pa.int32()), ("n", pa.int64()), ("text", pa.string())])
+        for batch in batches:
+            for _, _, data, offs in looked_at(batch.column(0)):
+                t = own.tokens(data, offs)
+                ok = own.whole(t, n)
+                odd = np.flatnonzero(t.separators)
+                ok &= t.separators[t.doc[: len(ok)]] == 0
+                some = [next(k for k, p in enumerate(patterns) if p.search(text)) for _, text in own.rejected(data, t, ok, n)]
+                counts[:-1] += np.bincount(np.array(some, np.int64), minlength=len(patterns))
+                counts[-1] += np.count_nonzero(ok) - len(some)
+                if len(odd):
+                    handed = [data[offs[d] : offs[d + 1]].tobytes().decode() for d in odd.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(odd), pa.int32()), pa.nulls(len(odd), pa.int64()), pa.array(handed, pa.string())], schema=kinds)
+        of = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32), mask=of == len(patterns)), pa.array(counts[of]), pa.nulls(len(of), pa.string())], schema=kinds)
+
+    return texts.select("text").mapInArrow(scan, "pattern_idx int, n long, text string")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast where the number of rows is known to be small; otherwise a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgram.config import DOC_SEPARATOR, DOC_SEPARATOR_TYPO, FIELD_SEPARATOR, ItemStopGrams, Normalization, ScanConfig
+from siftgram.functions import text as X
 from siftgram.operators import exact, index, matching, segments, spaced, stopgrams
 from siftgram.operators.detector import Detector
 from siftgram.plans import filtering, report, scan, selftest
@@ -314,5 +315,11 @@ def test_reject_statistics(spark):
     items = bench(spark, [["select one best answer please now"], ["true false true false here"], ["plain words only stay"]]).select("benchmark", "fields")
     got = {r.pattern_idx: r.n for r in index.reject_stats(items, 3).collect()}
     assert sum(got.values()) == 4 + 3 + 2 and got[None] >= 1
+    odd = bench(spark, [["true <|field_sep|> x option a ＜|FIELD_SEP|＞ which statement true " + "true false true " * 40, "İx find value x"], ["", "short"]]).select("benchmark", "fields")
+    both = items.unionByName(odd)
+    plain = Normalization()
+    want = index._field_grams(both, 3, plain).groupBy(X.reject_pattern(F.col("gram"), plain).alias("p")).count()
+    assert {r.pattern_idx: r.n for r in index.reject_stats(both, 3).collect()} == {r.p: r["count"] for r in want.collect()}
+    assert "MapInArrow" in index.reject_stats(both, 3)._jdf.queryExecution().executedPlan().toString()
     top = index.top_rejected(items, 3).collect()
     assert [r.n for r in top] == sorted((n for p, n in got.items() if p is not None), reverse=True)
