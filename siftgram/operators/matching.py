@@ -422,6 +422,72 @@ def reject_counts(texts: DataFrame, n: int, norm: Normalization) -> DataFrame:
     return texts.select("text").mapInArrow(scan, "pattern_idx int, n long, text string")
 
 
+#: Bytes of text of a block of documents in which candidates for frequent n-grams are counted.
+BLOCK_BYTES = 8 << 20
+
+
+def frequent(docs: DataFrame, n: int, tau: float, norm: Normalization) -> DataFrame | None:
+    """(gram, df): n-grams in at least max(1, ceil(tau * N)) of the N documents, by kernels; None where no bound holds.
+
+    What is in a share tau of all documents is in that share of some block of them. Blocks name candidates by hash, which
+    are broadcast and counted over all documents; n-grams are neither exploded nor shuffled.
+    """
+    texts = docs.select("text")
+
+    def grams(own: Reader, batch: pa.RecordBatch):
+        """(documents, bytes, tokens, places and hashes of distinct n-grams of a document) of pieces."""
+        for i, j, data, offs in looked_at(batch.column(0)):
+            t = own.tokens(data, offs)
+            at = np.flatnonzero(own.allowed(data, t, n))
+            h, doc = K.grams(t.hash, n)[at], t.doc[at]
+            by = np.lexsort((h, doc))
+            once = by[np.flatnonzero(np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (h[by][1:] != h[by][:-1])])[: len(by)])]
+            yield j - i, data, t, at[once], h[once]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, size, count = Reader(norm), [], 0, 0
+
+        def named():
+            h, df = np.unique(np.concatenate(held), return_counts=True)
+            h = h[df >= tau * count - 1e-6]
+            ids = pa.array(np.append(h.view(np.int64), 0), mask=np.append(np.zeros(len(h), bool), True))
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.append(np.zeros(len(h), np.int64), count))], names=["gram_id", "docs"])
+
+        for batch in batches:
+            for docs_, data, _, _, h in grams(own, batch):
+                held.append(h)
+                size, count = size + len(data), count + docs_
+                if size >= BLOCK_BYTES:
+                    yield named()
+                    held, size, count = [], 0, 0
+        if held:
+            yield named()
+
+    got = materialised(texts.mapInArrow(candidates, "gram_id long, docs long").groupBy("gram_id").agg(F.sum("docs").alias("docs")), "candidates")
+    if got.count() > BROADCAST_ROWS:
+        return None
+    total = got.agg(F.sum("docs")).first()[0] or 0
+    need = max(1, -int(-(tau * total) // 1))
+    shared = share(docs.sparkSession, np.sort(got.where("gram_id IS NOT NULL").toArrow()["gram_id"].to_numpy().view(np.uint64)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = Reader(norm), shared()
+        df, texts_ = np.zeros(len(known), np.int64), {}
+        for batch in batches:
+            for _, data, t, at, h in grams(own, batch) if len(known) else ():
+                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[k] == h
+                k, at = k[hit], at[hit]
+                new, first = np.unique(k, return_index=True)
+                for x, a in zip(new[df[new] == 0].tolist(), at[first[df[new] == 0]].tolist(), strict=True):
+                    texts_[x] = b" ".join(K.word_bytes(data, t.start[a + y], t.end[a + y]) for y in range(n)).decode()
+                df += np.bincount(k, minlength=len(known))
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([texts_[x] for x in met.tolist()], pa.string()), pa.array(df[met])], names=["gram", "df"])
+
+    return texts.mapInArrow(counted, "gram string, df long").groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= need)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast where the number of rows is known to be small; otherwise a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftgram.config import DOC_SEPARATOR, DOC_SEPARATOR_TYPO, Normalization
 from siftgram.functions.text import may_reject, rejected, tokens, windows
+from siftgram.operators.matching import frequent
 
 
 def background_documents(rows: DataFrame, fields: list[str], sep: str | None = DOC_SEPARATOR, typo: str | None = DOC_SEPARATOR_TYPO) -> DataFrame:
@@ -21,8 +22,11 @@ def background_documents(rows: DataFrame, fields: list[str], sep: str | None = D
 
 
 def background_stopgrams(docs: DataFrame, n: int, tau: float, norm: Normalization | None = None) -> DataFrame:
-    """(gram, df): n-grams in at least max(1, ceil(tau * N)) of the N documents; exact counts with partial aggregation."""
+    """(gram, df): n-grams in at least max(1, ceil(tau * N)) of the N documents; exact counts, by kernels where the
+    normalization and the number of candidates allow, else with partial aggregation."""
     norm = norm or Normalization()
+    if norm.is_default and tau > 0 and (got := frequent(docs, n, tau, norm)) is not None:
+        return got
     total = docs.count()
     need = max(1, -int(-(tau * total) // 1))
     toks = docs.select(tokens(F.col("text"), norm).alias("toks"))

@@ -84,6 +84,22 @@ def test_stop_grams_and_counts(spark):
     assert {x.gram: x.df for x in stopgrams.background_stopgrams(docs, 1, 0.75).collect()} == {"alpha": 3, "beta": 3}
 
 
+def test_frequent_grams_by_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "gámma", "delta's", "<|FIELD_SEP|>", "option b", f"w{rng.randrange(50)}"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts if t], "text string").repartition(3)
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 2000)
+    for tau in (0.05, 0.2, 0.003):
+        got = stopgrams.background_stopgrams(docs, 2, tau)
+        assert "hashpartitioning(gram_id" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan and "MapInArrow" in plan
+        monkeypatch.setattr(matching, "BROADCAST_ROWS", -1)  # no candidates: the plan that explodes n-grams
+        want = stopgrams.background_stopgrams(docs, 2, tau)
+        assert "Generate" in want._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        monkeypatch.setattr(matching, "BROADCAST_ROWS", 2_000_000)
+    assert stopgrams.background_stopgrams(docs.limit(0), 2, 0.05).count() == 0
+
+
 def test_kernels_look_at_small_pieces(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(matching, "normalized", lambda c: seen.append(len(c)) or c)
